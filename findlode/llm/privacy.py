@@ -176,8 +176,9 @@ def personal_data(docs: DataFrame, min_known: int = MIN_KNOWN, min_trust: float
     empty = F.expr("cast(array() as array<struct<s:int,e:int,k:int>>)")
     every = F.array_sort(F.concat("spans", F.coalesce("added", empty)), lambda a, b: F.when(a.s != b.s, a.s - b.s).otherwise(a.k - b.k))
     kinds = F.array(*[F.lit(k) for k in (*KINDS, "context")])
+    number = lambda n: F.size(F.filter("spans", lambda x: x.k == n)).cast("bigint")
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x.k), x.s, x.e)), ",")
-    out = both.select("doc_id", *[F.size(F.filter("spans", lambda x, n=n: x.k == n)).cast("bigint").alias(f"n_{k}") for n, k in enumerate(KINDS)], F.coalesce(F.size("added"), F.lit(0)).cast("bigint").alias("n_context"), F.sha2(text(F.col("spans")), 256).alias("base_sha256"), text(every).alias("spans"))
+    out = both.select("doc_id", *[number(n).alias(f"n_{k}") for n, k in enumerate(KINDS)], F.coalesce(F.size("added"), F.lit(0)).cast("bigint").alias("n_context"), F.sha2(text(F.col("spans")), 256).alias("base_sha256"), text(every).alias("spans"))
     return scratch.result(out)
 
 
