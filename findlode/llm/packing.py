@@ -180,8 +180,8 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, windo
             return out
 
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
+            for k in range(0, len(batch), 1024):
+                part = batch.slice(k, 1024)
                 some = _ids_of(path, part.column(1).to_pylist(), end_id)
                 names += part.column(0).to_pylist()
                 ids += some

@@ -96,8 +96,8 @@ def _encoded(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> Data
         own, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], own.dtype)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
+            for k in range(0, len(batch), 1024):
+                part = batch.slice(k, 1024)
                 doc_ids = part.column(0).cast(pa.int64())
                 data = [payload(d, np.concatenate([ids, end]), pack) for d, ids in zip(doc_ids.to_pylist(), own.encode([t or "" for t in part.column(1).to_pylist()]), strict=True)]
                 shard = np.where(np.asarray(doc_ids.is_null()), 0, np.searchsorted(np.array(bounds, np.int64), doc_ids.fill_null(0).to_numpy(zero_copy_only=False), "left"))

@@ -12,13 +12,17 @@ import functools
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 #: Cuts remembered per worker: those met again, and new ones. A full memory starts anew.
-REMEMBERED = 400_000
-NEW = 150_000
-_ENDS = ".,;:!?"
+REMEMBERED = 800_000
+NEW = 400_000
+#: First words of lines, and runs of marks, remembered beside them.
+HEADS = 50_000
+#: ASCII marks; an apostrophe may begin a contraction and isn't among them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> str:
@@ -31,24 +35,23 @@ def _byte_letters() -> str:
 class _Memory(dict):
     """Cuts met at least twice; a cut met for the second time moves over from ``new``."""
 
-    def __init__(self) -> None:
+    def __init__(self, learn: Callable[[str], bytes | None]) -> None:
         super().__init__()
+        self.learn = learn
         self.new: dict[str, bytes | None] = {}
 
     def __missing__(self, cut: str) -> bytes | None:
-        return self.new[cut]
+        if cut in self.new:
+            ids = self[cut] = self.new.pop(cut)
+        else:
+            ids = self.new[cut] = self.learn(cut)
+        return ids
 
-    def settle(self, cuts: set[str]) -> set[str]:
-        """The cuts that aren't known."""
+    def trim(self) -> None:
         if len(self) > REMEMBERED:
             self.clear()
         if len(self.new) > NEW:
             self.new.clear()
-        cuts = cuts - self.keys()
-        again = cuts & self.new.keys()
-        for cut in again:
-            self[cut] = self.new.pop(cut)
-        return cuts - again
 
 
 class Encoder:
@@ -64,20 +67,43 @@ class Encoder:
         letters = _byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
         self.space = letters[32]
-        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in _ENDS}
+        self.heads: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.newline = self._whole("\n")
-        self.memory = _Memory()
+        self.memory = _Memory(self._cut)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, word: str, space: str) -> bytes:
+        written = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(space + written)]).tobytes()
+
     def _word(self, word: str, space: str) -> bytes:
-        """The ids of a cut's part without white space, with or without a space before it."""
-        bare, end = (word[:-1], self.ends[word[-1]]) if word[-1:] in self.ends else (word, [])
+        """The ids of a cut's part without white space, with or without a space before it.
+
+        Letters and the marks after them are separate to the pre-tokenizer; both are often known by themselves.
+        """
+        bare = word.rstrip(MARKS)
         if not bare.isalpha():
             return self._whole((space and " ") + word)
-        written = bare.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(space + written)] + end).tobytes()
+        if space:
+            known = self.memory.get(bare) or self.memory.new.get(bare) or self._letters(bare, space)
+        else:
+            known = self.heads.get(bare)
+            if known is None:
+                if len(self.heads) > HEADS:
+                    self.heads.clear()
+                known = self.heads[bare] = self._letters(bare, space)
+        if len(bare) == len(word):
+            return known
+        marks = word[len(bare) :]
+        ids = self.marks.get(marks)
+        if ids is None:
+            if len(self.marks) > HEADS:
+                self.marks.clear()
+            ids = self.marks[marks] = self._whole(marks)
+        return known + ids
 
     def _cut(self, cut: str) -> bytes | None:
         """The ids of " cut"; none if that isn't a place to cut."""
@@ -92,16 +118,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split, cuts = [], set()
-        for text in texts:
-            parts = text.split(" ")
-            cuts.update(parts[1:])
-            split.append(parts)
-        for cut in self.memory.settle(cuts):
-            self.memory.new[cut] = self._cut(cut)
+        self.memory.trim()
         get = self.memory.__getitem__
         out = []
-        for text, parts in zip(texts, split, strict=True):
+        for text in texts:
+            parts = text.split(" ")
             head = parts[0]
             try:
                 ids = (self._whole(head) if head and not head[-1].isspace() else None) + b"".join(map(get, parts[1:]))
