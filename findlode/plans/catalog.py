@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from findlode.plans import links, meta, shape, text, vector
+from findlode.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "links", "meta", "shape", "text", "vector"]
