@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findlode.llm import textscan as ts
-from findlode.llm.shared import only
+from findlode.llm.shared import only, unnamed
 
 HASHES = 64
 PERCENT = 75
@@ -193,5 +193,5 @@ def without_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, blo
 
     out = docs
     for block in item_blocks(items, block_items):
-        out = out.mapInArrow(sift(block), docs.schema)
+        out = unnamed(out).mapInArrow(sift(block), docs.schema)
     return out

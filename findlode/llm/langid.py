@@ -123,7 +123,7 @@ class Trees:
             places.append(table[prior, symbols].astype(np.int64))
         # From the longest context down: bytes known there are paid for, the others pay the escape and go on.
         bits = self.costs[self.order][places[self.order]]
-        left = np.flatnonzero(places[self.order] == 0)
+        left = np.flatnonzero(places[self.order] == 0) if self.order else np.empty(0, np.int64)
         bits[left] = 0
         for k in range(self.order - 1, -1, -1):
             if not len(left):
@@ -170,7 +170,7 @@ def language(docs: DataFrame, trees: Trees | None = None, sample_texts: int = SA
     """doc_id, held_out, lang_pred, and the prediction's share of all languages' probabilities."""
     trees = trees or learn(docs, sample_texts, order)
     if trees is None:
-        return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return only(docs, "doc_id").select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,4 +187,4 @@ def language(docs: DataFrame, trees: Trees | None = None, sample_texts: int = SA
                 names = [own.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text")).mapInArrow(predict, SCHEMA)
+    return only(docs, "doc_id", "text").select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text")).mapInArrow(predict, SCHEMA)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from findlode.llm import textscan as ts
-from findlode.llm.shared import Scratch, only
+from findlode.llm.shared import Scratch, only, unnamed
 
 HASHES = 128
 LEAST_DEPTH = 4
@@ -343,4 +343,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are the first of their component, with all their columns."""
     gone = near_duplicates(docs, percent).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    own = unnamed(docs)
+    return own.join(gone, F.col(f"_{docs.columns.index('doc_id')}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findlode.llm import textscan as ts
-from findlode.llm.shared import only
+from findlode.llm.shared import only, unnamed
 
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
@@ -148,7 +148,7 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
             yield pa.RecordBatch.from_pydict({"name": [r.name for r in rules], "s": took, "hits": hits, "n": [len(rows)] * len(rules)})
             return
 
-    found = docs.select(F.col("text")).mapInArrow(measure, "name string, s double, hits bigint, n bigint").groupBy("name").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()
+    found = only(docs, "text").mapInArrow(measure, "name string, s double, hits bigint, n bigint").groupBy("name").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()
     rate = {r["name"]: (r["hits"] + 1) / (r["n"] + 2) / max(r["s"], 1e-9) for r in found}
     return tuple(sorted(rules, key=lambda r: (-rate.get(r.name, 0.0), r.name)))
 
@@ -189,4 +189,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: tuple[Rul
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(verdicts(Texts(part.column(at)), ordered)))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return unnamed(docs).mapInArrow(sift, docs.schema)

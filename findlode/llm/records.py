@@ -111,7 +111,7 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, end_id:
     spark = docs.sparkSession
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     marks = [k / shards for k in range(1, shards)]
-    found = docs.agg(F.percentile_approx("doc_id", marks, 100 * shards).alias("b")).first()["b"] if marks else None
+    found = only(docs, "doc_id").agg(F.percentile_approx("doc_id", marks, 100 * shards).alias("b")).first()["b"] if marks else None
     bounds = sorted(set(found or ()))  # a shard holds the ids up to its bound
     system, local = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(local, recursive=True)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from findlode.llm.shared import Scratch
+from findlode.llm.shared import Scratch, only
 
 KINDS = ("assign", "access", "hex", "owned")
 MAX_OWNERS = 2
@@ -67,7 +67,8 @@ def _joined(spans: Column) -> Column:
 def found_in(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
     """doc_id, repository, owner, and the arrays base and extra of (s, e, k, h): spans with their values' hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.col(repository).alias("repository"), F.col(owner).alias("owner"), text.alias("text"))
+    rows = only(docs, "doc_id", "text", *dict.fromkeys((repository, owner)))
+    rows = rows.select("doc_id", F.col(repository).alias("repository"), F.col(owner).alias("owner"), text.alias("text"))
     found = rows.select("doc_id", "repository", "owner", *[_spans(F.col("text"), p, k, g).alias(f"f{k}") for k, (p, g) in enumerate(((ASSIGN, 1), (ACCESS, 0), (HEX, 0), (CANDIDATE, 0)))])
     hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), F.xxhash64(x["v"]).alias("h")))
     base = F.array_sort(hashed(F.concat(F.filter("f0", lambda x: F.length(x["v"]) >= 8), F.col("f1"), F.col("f2"))), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["k"] - b["k"]))

@@ -57,8 +57,15 @@ class Scratch:
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of ``df`` by position, so that extra columns, whatever they are called, play no part."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    """The named columns of ``df``, found by their exact names, so that extra columns, whatever they are called, play no part."""
+    names = df.columns
+    plain = unnamed(df)
+    return plain.select(*[F.col(f"_{names.index(c)}").alias(c) for c in columns])
+
+
+def unnamed(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called _0, _1, ...; ``toDF(*df.columns)`` gives the names back."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

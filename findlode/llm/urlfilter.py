@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from findlode.llm.shared import only
+
 #: The parts of an address.
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -26,6 +28,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An addition holds until the key's next entry, whatever that is.
     """
+    entries = only(entries, "kind", "key", "category", "action", "entry_date")
     known = entries.select("kind", F.lower("key").alias("key"), "category", "action", F.col("entry_date").cast("date").alias("entry_date")).filter("kind is not null and key is not null and action in ('add', 'remove') and entry_date is not null").distinct()
     daily = known.groupBy("kind", "key", "entry_date").agg(F.max(F.struct("action", "category")).alias("last"))
     nxt = F.lead("entry_date").over(Window.partitionBy("kind", "key").orderBy("entry_date"))
@@ -48,7 +51,7 @@ def keys(captures: DataFrame) -> DataFrame:
 
 def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, host, n_active (keys listed as of the fetch date), blocked, and the most specific key, its category and date."""
-    asked = keys(captures)
+    asked = keys(only(captures, "page_id", "url", "fetch_date"))
     active = intervals(entries)
     distinct = asked.select("page_id", "fetch_date", "host", "keys").distinct()
     rows = distinct.select("page_id", "fetch_date", "host", F.explode("keys").alias("x")).select("page_id", "fetch_date", "host", "x.kind", "x.key", "x.weight")
