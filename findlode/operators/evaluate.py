@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from findlode.functions.prefix import numbered
+
 
 def judged(ranking: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, doc_id, place, positive): the ranking without ignored documents and later repeats, numbered anew.
@@ -54,7 +56,7 @@ def by_name(truth: DataFrame, docs: DataFrame) -> DataFrame:
 def objects_by_name(docs: DataFrame, token: int = 7) -> DataFrame:
     """(doc_id, object_id): documents whose names share a token are one object; objects are numbered without gaps."""
     named = docs.select("doc_id", F.get(F.split("filename", "_"), F.lit(token)).alias("name")).filter("name is not null")
-    numbers = named.select("name").distinct().withColumn("object_id", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint"))
+    numbers = numbered(named.select("name").distinct(), ["name"], "object_id")
     return named.join(numbers, "name").select("doc_id", "object_id")
 
 
@@ -67,4 +69,4 @@ def objects_by_place(places: DataFrame, cell: float = 25.0, repeat: int = 1) ->
     out = rows.select("doc_id", number.cast("bigint").alias("object_id"))
     if repeat == 1:
         return out
-    return out.select((F.col("doc_id") * repeat + F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))).alias("doc_id"), "object_id")
+    return out.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))).select((F.col("doc_id") * repeat + F.col("k")).alias("doc_id"), "object_id")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findlode.functions.prefix import numbered
+
 EPSILON = 1e-5
 #: Ranges of the quantised ellipse's logarithm of scale, of axis ratio, and of angle.
 SCALE, RATIO, ANGLE = (-35.0, -8.0), (0.0, 6.0), (-1.5708, 1.5708)
@@ -49,6 +51,29 @@ def match_region(x: Column, y: Column, w: Column, h: Column, t: Column) -> Colum
     return F.struct(left.alias("x"), upper.alias("y"), (right - left).alias("w"), (lower - upper).alias("h"))
 
 
+def assigned_regions(matches: DataFrame, regions: DataFrame, least: float = 0.9) -> DataFrame:
+    """(match_key, file_id, region_id, fresh): the region that a match stands for.
+
+    matches: (match_key, file_id, x, y, w, h); regions: (file_id, region_id, x, y, w, h). A match that overlaps a known
+    region of its file by more than ``least`` is that region, the first one of several; others get ids after the last,
+    in the order of their keys.
+    """
+    found = overlapping(matches.withColumnRenamed("match_key", "region_id"), regions, least).select(F.col("region_id").alias("match_key"), "match_id")
+    known = matches.select("match_key", "file_id").join(found, "match_key", "left")
+    last = regions.agg(F.coalesce(F.max("region_id"), F.lit(-1)).alias("last"))
+    fresh = numbered(known.filter("match_id is null").select("match_key", "file_id"), ["match_key"], "place").crossJoin(F.broadcast(last))
+    fresh = fresh.select("match_key", "file_id", (F.col("last") + F.col("place") + 1).cast("bigint").alias("region_id"), F.lit(True).alias("fresh"))
+    return known.filter("match_id is not null").select("match_key", "file_id", F.col("match_id").cast("bigint").alias("region_id"), F.lit(False).alias("fresh")).unionByName(fresh)
+
+
+def moved_ellipse(a: Column, b: Column, c: Column, t: Column) -> Column:
+    """The ellipse's matrix after the linear part of an affine transform: inverse transposed, matrix, inverse."""
+    g = lambda i: F.get(t, F.lit(i))
+    det = g(0) * g(4) - g(1) * g(3)
+    p, q, r, s = g(4) / det, -g(1) / det, -g(3) / det, g(0) / det
+    return F.struct((p * p * a + 2 * p * r * b + r * r * c).alias("a"), (p * q * a + (p * s + q * r) * b + r * s * c).alias("b"), (q * q * a + 2 * q * s * b + s * s * c).alias("c"))
+
+
 def determinant(t: Column) -> Column:
     c = lambda i: F.get(t, F.lit(i))
     return c(0) * (c(4) * c(8) - c(5) * c(7)) - c(1) * (c(3) * c(8) - c(5) * c(6)) + c(2) * (c(3) * c(7) - c(4) * c(6))

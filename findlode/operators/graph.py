@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from findlode.functions.prefix import numbered
 from findlode.functions.session import checkpointed
 
 
@@ -76,7 +77,7 @@ def strong_components(edges: DataFrame, threshold: float | None = None, rounds:
 def sets(nodes: DataFrame, least: int = 2) -> DataFrame:
     """(set_id, set_size, members): components of ``least`` nodes or more, numbered by their smallest node."""
     own = nodes.groupBy("comp").agg(F.count("*").alias("set_size"), F.sort_array(F.collect_list("node")).alias("members")).filter(F.col("set_size") >= least)
-    return own.select((F.row_number().over(Window.orderBy("comp")) - 1).cast("bigint").alias("set_id"), "set_size", "members")
+    return numbered(own, ["comp"], "set_id").select("set_id", "set_size", "members")
 
 
 def inverse_sets(table: DataFrame) -> DataFrame:

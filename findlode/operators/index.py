@@ -154,3 +154,23 @@ def checked(features: DataFrame, docs: DataFrame) -> DataFrame:
     """(n_features, n_docs, n_empty): totals, and documents without features."""
     counts = docs.select("doc_id").join(features.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_features"), F.count("*").alias("n_docs"), F.count_if(F.col("n").isNull()).alias("n_empty"))
+
+
+def kept(postings: DataFrame, flag: str = "keep") -> DataFrame:
+    """Postings that aren't marked as dropped; an index without marks is whole."""
+    return postings.filter(F.coalesce(F.col(flag), F.lit(True))).drop(flag) if flag in postings.columns else postings
+
+
+def block_sample(features: DataFrame, n: int, most: int = 100_000, block: int = 1000) -> DataFrame:
+    """Whole blocks of features at an even stride, ``most`` features at most. n: the number of features."""
+    blocks = -(-n // block)
+    step = max(1, -(-blocks * block // most))
+    return features.filter(F.floor(F.col("feat_id") / block) % step == 0)
+
+
+def profile(postings: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """(quantile, n, to_median): how long the words' lists are, against the median."""
+    n = postings.groupBy("word").agg(F.count("*").alias("n"))
+    found = n.agg(F.percentile("n", F.array(*[F.lit(q) for q in quantiles])).alias("v"), F.percentile("n", 0.5).alias("m"))
+    rows = found.select(F.posexplode("v").alias("i", "n"), "m")
+    return rows.select(F.get(F.array(*[F.lit(q) for q in quantiles]), F.col("i")).alias("quantile"), "n", (F.col("n") / F.col("m")).alias("to_median"))

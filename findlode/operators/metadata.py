@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from findlode.functions.prefix import running_total
 from findlode.functions.text import numbers, tokens
 
 PAGE = 20
@@ -172,8 +172,8 @@ def sampled(rows: DataFrame, key: str, n: int = 100, seed: int = 0) -> DataFrame
 def shuffled_until(rows: DataFrame, key: str, size: str, total: int, seed: int = 42) -> DataFrame:
     """Rows in a shuffled order, as long as the sizes before a row don't reach the total."""
     turn = F.xxhash64(F.col(key), F.lit(seed))
-    before = F.sum(size).over(Window.orderBy(turn, key).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < total).drop("before")
+    summed = running_total(rows.withColumn("turn", turn), ["turn", key], F.col(size), "upto")
+    return summed.filter(F.col("upto") - F.col(size) < total).drop("upto", "turn")
 
 
 def region_box(points: Column) -> Column:

@@ -175,3 +175,23 @@ def distinct_objects(ranked: DataFrame, objects: DataFrame, k: int = 0) -> DataF
     first = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "object_id").orderBy("rank"))).filter("place = 1").drop("place")
     out = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     return out.filter(F.col("rank") <= k) if k else out
+
+
+def hard_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b) of features under one word. Both: (feat_id, word)."""
+    a = left.select(F.col("feat_id").alias("a"), "word")
+    return a.join(right.select(F.col("feat_id").alias("b"), "word"), "word").select("a", "b")
+
+
+def soft_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, w) of features that share words: the sum of products of their weights, each feature's weights of unit length.
+
+    Both: (feat_id, word, w).
+    """
+
+    def unit_weights(rows: DataFrame, name: str) -> DataFrame:
+        length = F.sqrt(F.sum(F.pow("w", 2)).over(Window.partitionBy("feat_id")))
+        return rows.select(F.col("feat_id").alias(name), "word", (F.col("w") / F.when(length > 0, length).otherwise(1.0)).alias(f"w_{name}"))
+
+    pairs = unit_weights(left, "a").join(unit_weights(right, "b"), "word")
+    return pairs.groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("w"))

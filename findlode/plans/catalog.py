@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findlode.plans import activity, links, meta, shape, text, vector
+from findlode.plans import activity, links, meta, more, shape, text, vector
 from findlode.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "activity", "links", "meta", "shape", "text", "vector"]
+__all__ = ["ORACLES", "QUERIES", "activity", "links", "meta", "more", "shape", "text", "vector"]

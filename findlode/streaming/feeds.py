@@ -36,5 +36,6 @@ def activity(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 
     Distinct users are exact over sets of a window's users; on a stream of very many use an approximate count.
     """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.size(F.collect_set("user_id")).alias("users"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "users", "total")
