@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findlode.llm.shared import Scratch, only, unnamed
+from findlode.llm.shared import Scratch, if_few, only, unnamed
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs this many distinct known instances before it is trusted at all, and this share of its instances known.
@@ -212,5 +212,5 @@ def redact(docs: DataFrame, min_known: int = MIN_KNOWN, min_trust: float = MIN_T
                     columns[count] = pa.array([None if x is None else len(x) for x in out], pa.int64()).cast(columns[count].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    own = unnamed(docs).join(added.withColumnRenamed("doc_id", "added_for"), F.col(f"_{names.index('doc_id')}") == F.col("added_for"), "left").drop("added_for")
+    own = unnamed(docs).join(if_few(added.withColumnRenamed("doc_id", "added_for")), F.col(f"_{names.index('doc_id')}") == F.col("added_for"), "left").drop("added_for")
     return own.mapInArrow(replace, docs.schema)

@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables of ids, or of ids with a few small values, are broadcast up to this many rows (some 30 to 100 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def if_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows, as counted; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Scratch:
     """Tables that live as long as one operator call.
 
