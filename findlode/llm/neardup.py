@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from findlode.llm import textscan as ts
-from findlode.llm.shared import Scratch, only, unnamed
+from findlode.llm.shared import Scratch, if_few, only, unnamed
 
 HASHES = 128
 LEAST_DEPTH = 4
@@ -49,8 +49,6 @@ BLOCK = 2048
 #: Signatures that agree on fewer values than this (of 128) are more than six standard deviations below the threshold.
 LEAST_AGREEING = 66
 PERCENT = 75
-#: Lists of ids up to this length (some 30 MB) are broadcast, longer ones joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
@@ -284,9 +282,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     forest = HASHES // LEAST_DEPTH
     members = scratch.table(regions(sigs, 0, forest, LEAST_DEPTH), "members")
     shared = scratch.table(members.select("doc_id").distinct(), "shared")
-    few = shared.count() <= BROADCAST_IDS
-    sigs = scratch.table(sigs.join(F.broadcast(shared) if few else shared, "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
-    sets = scratch.table(shingle_table(only(docs, "doc_id", "text").join(F.broadcast(shared) if few else shared, "doc_id", "left_semi")), "sets")
+    wanted = if_few(shared)
+    sigs = scratch.table(sigs.join(wanted, "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
+    sets = scratch.table(shingle_table(only(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi")), "sets")
     now = sigs.select("doc_id", F.col("doc_id").alias("comp"))
     links: list[DataFrame] = []
     asked: list[DataFrame] = []
@@ -344,4 +342,4 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are the first of their component, with all their columns."""
     gone = near_duplicates(docs, percent).filter("not kept").select("doc_id")
     own = unnamed(docs)
-    return own.join(gone, F.col(f"_{docs.columns.index('doc_id')}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)
+    return own.join(if_few(gone), F.col(f"_{docs.columns.index('doc_id')}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)
