@@ -17,8 +17,8 @@ from collections.abc import Callable
 import numpy as np
 
 #: Cuts remembered per worker: those met again, and new ones. A full memory starts anew.
-REMEMBERED = 800_000
-NEW = 400_000
+REMEMBERED = 500_000
+NEW = 300_000
 #: First words of lines, and runs of marks, remembered beside them.
 HEADS = 50_000
 #: ASCII marks; an apostrophe may begin a contraction and isn't among them.
