@@ -44,8 +44,9 @@ DEEP_DEPTH = 8
 #: Values of an order that a crowded region can be split by.
 DEEPEST = 16
 CROWD = 24
-#: Documents of a block, where a crowd is asked block against block.
+#: Documents, and shingles, of a block, where a crowd is asked block against block.
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 21
 #: Signatures that agree on fewer values than this (of 128) are more than six standard deviations below the threshold.
 LEAST_AGREEING = 66
 PERCENT = 75
@@ -249,7 +250,7 @@ def _first_links(percent: int):
     return match
 
 
-def crowd_links(crowded: DataFrame, now: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def crowd_links(crowded: DataFrame, now: DataFrame, sizes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links between a crowd's large components and the documents beside them, exactly; and those components.
 
     Where more than ``CROWD`` documents of a component share a region, the region's documents of other components are
@@ -260,9 +261,11 @@ def crowd_links(crowded: DataFrame, now: DataFrame, sets: DataFrame, scratch: Sc
     mains = scratch.table(large.select("main").distinct(), "mains")
     asks = crowded.join(large, "region").filter("comp != main").select("doc_id", "comp", "main").distinct()
     # Of two large components that meet, the one of the larger id asks.
+    # sizes: (doc_id, n_shingles); blocks are cut by documents and by shingles, which bounds a task's memory.
     asks = scratch.table(asks.join(mains.select(F.col("main").alias("comp"), F.lit(True).alias("both")), "comp", "left").filter("both is null or comp > main").select("doc_id", "main"), "asks")
     body = scratch.table(now.join(mains, now["comp"] == mains["main"]).select("doc_id", "main"), "body")
-    blocks = body.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).join(asks.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq")), "main")
+    cut = lambda rows, name: rows.join(sizes, "doc_id").groupBy("main").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias(name))
+    blocks = cut(body, "nb").join(cut(asks, "nq"), "main")
     blocks = scratch.table(blocks, "blocks")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     named = lambda side: sets.select("doc_id", F.col("shingles").alias(f"{side}_set"))
@@ -276,7 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable, itself included) and kept (doc_id = component_id)."""
     scratch = Scratch(docs.sparkSession, "neardup")
     every = scratch.table(signed(docs), "signed")
-    classes = scratch.table(every.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).filter("rep is not null"), "classes")
+    classes = scratch.table(every.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).filter("rep is not null"), "classes")
     sigs = classes.select(F.col("rep").alias("doc_id"), F.col("rep").alias("comp"), "sig")
     # A first look at all orders says which documents share any region; only these need their signatures and full sets.
     forest = HASHES // LEAST_DEPTH
@@ -318,7 +321,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = again(members, "members2")
     crowded = members.filter(F.col("size") > CROWD)
     if not crowded.isEmpty():
-        found, mains = crowd_links(crowded, now, sets, scratch, percent)
+        found, mains = crowd_links(crowded, now, classes.select(F.col("rep").alias("doc_id"), "n_shingles"), sets, scratch, percent)
         links.append(found)
         # What meets a large component in a crowd has now been asked; small regions keep their pairs with it.
         rest = crowded.join(mains.withColumnRenamed("main", "comp"), "comp", "left_anti")

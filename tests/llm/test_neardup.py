@@ -64,6 +64,12 @@ def test_a_crowd_of_near_copies_loses_no_link(docs_of):
     check(list(enumerate(texts)), docs_of)
 
 
+def test_blocks_of_a_crowd_lose_no_link(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 700)
+    test_a_crowd_of_near_copies_loses_no_link(docs_of)
+
+
 def test_a_crowd_of_forms_that_share_a_template(docs_of):
     rng = random.Random(5)
     form = words(rng, 90)
