@@ -30,7 +30,7 @@ from findlode.llm.shared import only
 #: Bytes of context at most.
 ORDER = 3
 #: Distinct texts that are learned from per language, about.
-SAMPLE_TEXTS = 400
+SAMPLE_TEXTS = 250
 _PIECE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -50,9 +50,9 @@ class Trees:
             for text in samples[name]:
                 buf.append(text)
                 offsets.append(offsets[-1] + len(text))
-                lang.append(np.full(len(text), k, np.int64))
+                lang.append(np.full(len(text), k, np.int32))
         line = np.frombuffer(b"".join(buf), np.uint8)
-        owner = np.concatenate([*lang, np.empty(0, np.int64)])
+        owner = np.concatenate([*lang, np.empty(0, np.int32)])
         head = np.zeros(len(line) + 1, bool)
         head[np.array(offsets)] = True
         head = head[: len(line)]
@@ -60,8 +60,8 @@ class Trees:
         self.symbol = np.zeros(256, np.int64)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = len(seen) + 1
-        place = self.symbol[line]
-        counts = np.bincount(place * n + owner, minlength=self.width * n).reshape(-1, n).astype(float)
+        place = self.symbol[line].astype(np.int32)
+        counts = np.bincount(place.astype(np.int64) * n + owner, minlength=self.width * n).reshape(-1, n).astype(float)
         self.tables: list[np.ndarray] = []
         self.costs: list[np.ndarray] = []
         self.escapes: list[np.ndarray] = []
@@ -71,20 +71,21 @@ class Trees:
         self.costs.append(cost.astype(np.float32))
         symbols, suffix_of = place, np.zeros(self.width, np.int64)
         for _ in range(order):
-            before = np.concatenate([[0], place[:-1]])
+            before = np.concatenate([np.zeros(1, np.int32), place[:-1]])
             before[head] = 0
-            keys = before * self.width + symbols
-            real, which = np.unique(keys[before > 0], return_inverse=True)
+            known = before > 0
+            real, which = np.unique(before[known].astype(np.int64) * self.width + symbols[known], return_inverse=True)
             table = np.zeros((len(counts), self.width), np.int32)
             table.ravel()[real] = np.arange(1, len(real) + 1)
-            new = np.zeros(len(line), np.int64)
-            new[before > 0] = which + 1
+            new = np.zeros(len(line), np.int32)
+            new[known] = which + 1
+            del which, known
             parents = np.concatenate([[0], real // self.width])
             # The same bytes without the first: the node one level up that this string ends with.
             suffix_of = np.zeros(len(real) + 1, np.int64)
             suffix_of[new] = place
             suffix_of[0] = 0
-            counts = np.bincount(new * n + owner, minlength=(len(real) + 1) * n).reshape(-1, n).astype(float)
+            counts = np.bincount(new.astype(np.int64) * n + owner, minlength=(len(real) + 1) * n).reshape(-1, n).astype(float)
             counts[0] = 0
             total, distinct = (np.zeros((len(table), n)) for _ in range(2))
             np.add.at(total, parents, counts)
