@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findlode.functions.session import checkpointed
 from findlode.operators import evaluate, index, scoring
 from findlode.plans.registry import query, read
 
@@ -28,12 +29,15 @@ RANKED = "ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITIO
 
 
 class Corpus:
-    """The index of a table of documents and its statistics."""
+    """The index of a table of documents and its statistics.
+
+    Term counts are kept, as an index would keep them: idf, norms and scores all read them, and texts are read once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.docs = read(spark, sf_dir, "documents")
         self.postings = index.text_postings(self.docs)
-        self.tf = index.term_counts(self.postings)
+        self.tf = checkpointed(index.term_counts(self.postings))
         self.idf = index.idf(self.tf, self.docs)
         self.norms = index.tfidf_norms(self.tf, self.idf)
         self.items = item_postings(spark, sf_dir)
@@ -54,7 +58,8 @@ def item_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STATISTICS} SELECT word, round(idf, 6) AS idf FROM idf")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus(spark, sf_dir).idf.select("word", F.round("idf", 6).alias("idf"))
+    docs = read(spark, sf_dir, "documents")
+    return index.idf(index.term_counts(index.text_postings(docs)), docs).select("word", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {STATISTICS} SELECT doc_id, round(l2, 6) AS l2 FROM norms")
