@@ -251,18 +251,20 @@ def _first_links(percent: int):
 
 
 def crowd_links(crowded: DataFrame, now: DataFrame, sizes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Links between a crowd's large components and the documents beside them, exactly; and those components.
+    """Links between a crowd's large components and the documents beside them, exactly; and the rows still to be asked.
 
     Where more than ``CROWD`` documents of a component share a region, the region's documents of other components are
-    asked against the full sets of all documents of that component. Both go in blocks, a block against a block in a
+    asked against the full sets of all documents of that component. Only there do its documents leave the region: where
+    fewer of them are, nothing has been asked against it. Both go in blocks, a block against a block in a
     task, through an inverted index of the block's shingles; only links come out, one per document and block.
     """
     large = scratch.table(crowded.groupBy("region", "comp").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("region", F.col("comp").alias("main")), "large")
     mains = scratch.table(large.select("main").distinct(), "mains")
-    asks = crowded.join(large, "region").filter("comp != main").select("doc_id", "comp", "main").distinct()
-    # Of two large components that meet, the one of the larger id asks.
+    own = large.select("region", F.col("main").alias("comp"), F.lit(True).alias("both"))
+    asks = crowded.join(large, "region").filter("comp != main").join(own, ["region", "comp"], "left")
+    # Of two components that are large in one region, the one of the larger id asks.
     # sizes: (doc_id, n_shingles); blocks are cut by documents and by shingles, which bounds a task's memory.
-    asks = scratch.table(asks.join(mains.select(F.col("main").alias("comp"), F.lit(True).alias("both")), "comp", "left").filter("both is null or comp > main").select("doc_id", "main"), "asks")
+    asks = scratch.table(asks.filter("both is null or comp > main").select("doc_id", "main").distinct(), "asks")
     body = scratch.table(now.join(mains, now["comp"] == mains["main"]).select("doc_id", "main"), "body")
     cut = lambda rows, name: rows.join(sizes, "doc_id").groupBy("main").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias(name))
     blocks = cut(body, "nb").join(cut(asks, "nq"), "main")
@@ -272,7 +274,7 @@ def crowd_links(crowded: DataFrame, now: DataFrame, sizes: DataFrame, sets: Data
     left = body.join(blocks, "main").select("main", "doc_id", F.pmod(F.xxhash64("doc_id"), "nb").cast("int").alias("b"), upto("nq").alias("q")).join(named("body"), "doc_id")
     right = asks.join(blocks, "main").select("main", "doc_id", upto("nb").alias("b"), F.pmod(F.xxhash64("doc_id"), "nq").cast("int").alias("q")).join(named("asks"), "doc_id")
     found = left.groupBy("main", "b", "q").cogroup(right.groupBy("main", "b", "q")).applyInPandas(_first_links(percent), "a bigint, b bigint")
-    return scratch.table(found, "crowd-links"), mains
+    return scratch.table(found, "crowd-links"), crowded.join(own, ["region", "comp"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -321,10 +323,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = again(members, "members2")
     crowded = members.filter(F.col("size") > CROWD)
     if not crowded.isEmpty():
-        found, mains = crowd_links(crowded, now, classes.select(F.col("rep").alias("doc_id"), "n_shingles"), sets, scratch, percent)
+        found, rest = crowd_links(crowded, now, classes.select(F.col("rep").alias("doc_id"), "n_shingles"), sets, scratch, percent)
         links.append(found)
-        # What meets a large component in a crowd has now been asked; small regions keep their pairs with it.
-        rest = crowded.join(mains.withColumnRenamed("main", "comp"), "comp", "left_anti")
+        # What meets a component where it is large has now been asked; other regions keep their pairs with it.
         members = scratch.table(members.filter(F.col("size") <= CROWD).unionByName(_shared(rest.drop("size")).select(members.columns)), "members3")
     small, crowded = _deeper(members, sigs, 0, forest, LEAST_DEPTH, scratch, "forest")
     ask(neighbours(small).unionByName(chains(crowded)), "leaf")

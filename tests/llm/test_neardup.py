@@ -78,6 +78,26 @@ def test_a_crowd_of_forms_that_share_a_template(docs_of):
     check(list(enumerate(texts)), docs_of)
 
 
+def test_a_component_is_asked_in_every_crowd_where_it_is_large_and_stays_in_the_others(spark):
+    """Component 0 is large in region 1 only, 100 in region 2 only; in region 3 both are few beside others."""
+    from findlode.llm.shared import Scratch
+
+    zero, hundred, others = range(0, 60), range(100, 160), range(200, 212)
+    comp = {**dict.fromkeys(zero, 0), **dict.fromkeys(hundred, 100), **{d: d for d in others}}
+    regions = {1: [*zero[:30], *others[:2]], 2: [*hundred[:30], *zero[40:60]], 3: [*zero[30:50], *others]}
+    crowded = spark.createDataFrame([(r, 0, 0, comp[d], d, len(own)) for r, own in regions.items() for d in own], "region bigint, t int, deep bigint, comp bigint, doc_id bigint, size bigint")
+    now = spark.createDataFrame(list(comp.items()), "doc_id bigint, comp bigint")
+    sets = spark.createDataFrame([(d, list(range(10)) if d in (45, 110) else [1000 * (d + 1) + i for i in range(10)]) for d in comp], "doc_id bigint, shingles array<bigint>")
+    scratch = Scratch(spark, "crowd")
+    found, rest = neardup.crowd_links(crowded, now, sets.selectExpr("doc_id", "size(shingles) n_shingles"), sets, scratch)
+    assert {tuple(sorted(r)) for r in found.collect()} == {(45, 110)}
+    left = {}
+    for r in rest.collect():
+        left.setdefault(r["region"], set()).add(r["doc_id"])
+    assert left == {1: set(others[:2]), 2: set(zero[40:60]), 3: {*zero[30:50], *others}}
+    scratch.close()
+
+
 def test_extra_columns_nulls_and_repeats(docs_of, odd):
     rows = [(5, "a b c d e f g h"), (9, "a b c d e f g h"), (9, "a b c d e f g h"), (None, "a b c d e f g h"), (2, None), (None, None), *((20 + i, t) for i, t in enumerate(odd))]
     got = neardup.near_duplicates(docs_of(rows, extra=True)).collect()
