@@ -2,10 +2,9 @@
 
 Documents with the same shingle set are one class, and only a class's first document goes on. A signature of ``HASHES``
 minimum values is read in several orders. In each order, documents that share a prefix of ``LEAST_DEPTH`` values form
-a region, and within the region's sorted order the neighbours with the longest common prefix are candidates. Depth
-adapts to the region: where more than ``CROWD`` documents share a prefix, the region is split by further values of its
-order until its parts are small or the order ends. Candidates are confirmed by the sizes of intersection and union of
-their full sets, and links are joined into components.
+a region, and within the region's sorted order the neighbours with the longest common prefix are candidates. In regions
+of up to ``CROWD`` documents all pairs are. Candidates are confirmed by the sizes of intersection and union of their full
+sets, and links are joined into components.
 
 Work goes in rounds so that crowds stay cheap. The first round links each document to its nearest neighbour in a few
 orders; that joins most copies. Later rounds look only at regions that still hold several components, so a group of any
@@ -13,9 +12,8 @@ size costs a multiple of its size and never its square. A region's documents of
 
 Coverage: a pair at the threshold of 0.75 shares ``LEAST_DEPTH`` values of one order with probability 0.316 and of none
 of the 32 disjoint ones with 5e-6. In a crowd two further ways hold that up. Documents beside a large component are
-asked against all its documents, block by block and exactly (``crowd_links``). Other crowds, such as forms filled in
-differently, split deeper, where one order is less likely to keep a pair together; their documents go through
-``DEEP_ORDERS`` further orders at ``DEEP_DEPTH`` values, each a random choice of the signature's values.
+asked against all its documents, block by block and exactly (``crowd_links``). The documents of other crowds, such as
+forms filled in differently, are joined exactly by the rarest shingles of their full sets (``rare_links``).
 
 Cases: documents without words or text have an empty set and are linked with nothing; repeated rows of one doc_id are
 copies of each other and keep that id; a null doc_id is never the smallest of a component with other ids; an empty table
@@ -39,14 +37,12 @@ from findlode.llm.shared import Scratch, if_few, only, unnamed
 
 HASHES = 128
 LEAST_DEPTH = 4
-DEEP_ORDERS = 64
-DEEP_DEPTH = 8
-#: Values of an order that a crowded region can be split by.
-DEEPEST = 16
 CROWD = 24
 #: Documents, and shingles, of a block, where a crowd is asked block against block.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 21
+#: Shingles are counted in so many buckets where the rare ones of a crowd are told from the common ones.
+BUCKETS = 1 << 18
 #: Signatures that agree on fewer values than this (of 128) are more than six standard deviations below the threshold.
 LEAST_AGREEING = 66
 PERCENT = 75
@@ -120,12 +116,9 @@ def _deep(order: Column, at: int) -> Column:
     return F.shiftleft(high, 32) + low + F.lit(1 << 31)
 
 
-def orders(first: int, count: int) -> list[list[int]]:
-    """Orders ``first`` to ``first + count`` of the signature: 32 start at disjoint fours, the others are random."""
-    rng = np.random.default_rng(99)
-    out = [[(LEAST_DEPTH * t + i) % HASHES for i in range(DEEPEST)] for t in range(HASHES // LEAST_DEPTH)]
-    out += [[int(x) for x in rng.permutation(HASHES)[:DEEPEST]] for _ in range(DEEP_ORDERS)]
-    return out[first : first + count]
+def orders() -> list[list[int]]:
+    """The orders of the signature, which start at disjoint fours."""
+    return [[(LEAST_DEPTH * t + i) % HASHES for i in range(LEAST_DEPTH + 2)] for t in range(HASHES // LEAST_DEPTH)]
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -137,31 +130,12 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(size, "region")
 
 
-def regions(sigs: DataFrame, first: int, count: int, depth: int) -> DataFrame:
-    """(region, t, deep, comp, doc_id, size): documents under each order's prefix of ``depth`` values."""
-    keys = F.transform(_orders(orders(first, count)), lambda o, t: F.struct(F.xxhash64(t + first, _values(o, 0, depth)).alias("region"), _deep(o, depth).alias("deep")))
+def regions(sigs: DataFrame) -> DataFrame:
+    """(region, t, deep, comp, doc_id, size): documents under each order's prefix of ``LEAST_DEPTH`` values."""
+    keys = F.transform(_orders(orders()), lambda o, t: F.struct(F.xxhash64(t, _values(o, 0, LEAST_DEPTH)).alias("region"), _deep(o, LEAST_DEPTH).alias("deep")))
     return _shared(sigs.select("comp", "doc_id", F.posexplode(keys).alias("t", "key")).select("key.region", "t", "key.deep", "comp", "doc_id"))
 
 
-def _deeper(members: DataFrame, sigs: DataFrame, first: int, count: int, depth: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """Splits crowded regions by further values of their order, until parts are small or its ``DEEPEST`` values are used.
-
-    Returns the parts that are small, and those that are crowded to the end.
-    """
-    columns = ["region", "t", "deep", "comp", "doc_id"]
-    small = members.filter(F.col("size") <= CROWD).select(columns)
-    crowded = scratch.table(members.filter(F.col("size") > CROWD).select(columns), f"{name}-crowd")
-    chosen = _orders(orders(first, count))
-    for level in range(depth + 4, DEEPEST + 1, 4):
-        if crowded.isEmpty():
-            break
-        rows = crowded.join(sigs.select("doc_id", "sig"), "doc_id").select(F.xxhash64("region", _values(F.get(chosen, F.col("t")), level - 4, 4)).alias("region"), "t", "deep", "comp", "doc_id")
-        rows = scratch.table(_shared(rows), f"{name}-{level}")
-        small = small.unionByName(rows.filter(F.col("size") <= CROWD).select(columns))
-        crowded = rows.filter(F.col("size") > CROWD).select(columns)
-    return small, crowded
-
-
 def chains(members: DataFrame) -> DataFrame:
     """Each document with the one before it in its region's order, its neighbour of longest common prefix.
 
@@ -226,23 +200,31 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
 
 
+def _linked(sets: list[np.ndarray], percent: int):
+    """A function that finds the places of the sets that a set is linked with, through an inverted index."""
+    sizes = np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    turn = np.argsort(every, kind="stable")
+    every, owner = every[turn], owner[turn]
+
+    def find(own: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(every, own), np.searchsorted(every, own, "right")
+        hits = np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)]) if len(own) else owner[:0]
+        n = np.bincount(hits, minlength=len(sets))
+        return np.flatnonzero(100 * n >= percent * (sizes + len(own) - n))
+
+    return find
+
+
 def _first_links(percent: int):
     def match(body: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         """For each asking document one document of the block that it is linked with, if there is any."""
         if not len(body) or not len(asks):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        sets = [np.asarray(x) for x in body["body_set"]]
-        sizes = np.array([len(x) for x in sets])
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        turn = np.argsort(every, kind="stable")
-        every, owner = every[turn], owner[turn]
+        find = _linked([np.asarray(x) for x in body["body_set"]], percent)
         out = []
         for doc, own in zip(asks["doc_id"], asks["asks_set"], strict=True):
-            own = np.asarray(own)
-            lo, hi = np.searchsorted(every, own), np.searchsorted(every, own, "right")
-            hits = np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True)]) if len(own) else owner[:0]
-            n = np.bincount(hits, minlength=len(sets))
-            linked = np.flatnonzero(100 * n >= percent * (sizes + len(own) - n))
+            linked = find(np.asarray(own))
             if len(linked):
                 out.append((doc, body["doc_id"].iloc[int(linked[0])]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -277,6 +259,88 @@ def crowd_links(crowded: DataFrame, now: DataFrame, sizes: DataFrame, sets: Data
     return scratch.table(found, "crowd-links"), crowded.join(own, ["region", "comp"], "left_anti")
 
 
+def _joining_links(percent: int):
+    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between two blocks, or within one, as many as join all components that any of its links joins."""
+        _, lo, hi = key
+        body, asks = rows[rows["k"] == lo], rows[rows["k"] == hi]
+        out = []
+        if len(body) and len(asks):
+            find = _linked([np.asarray(x) for x in body["shingles"]], percent)
+            names, part = np.unique(np.concatenate([body["comp"], asks["comp"]]), return_inverse=True)
+            parts, ids = part[: len(body)], body["doc_id"].to_numpy()
+            now = np.arange(len(names))
+            for doc, comp, own in zip(asks["doc_id"], part[len(body) :].tolist(), asks["shingles"], strict=True):
+                linked = find(np.asarray(own))
+                others, first = np.unique(now[parts[linked]], return_index=True)
+                for other, at in zip(others.tolist(), linked[first].tolist(), strict=True):
+                    if other != now[comp]:
+                        out.append((doc, ids[at]))
+                        now[now == other] = now[comp]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return match
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (ts.mix(shingles.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _listed(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list begins and the last ends."""
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def rare_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(region, comp, doc_id): the rarest shingles of each set, so many that two linked sets have one of them in common.
+
+    Linked sets share at least ``percent`` of each, so in any one order of all shingles they meet within the first
+    n - ceil(n * percent / 100) + 1 of both. The order is by the counts of buckets, which have a fixed size; how well they
+    tell common shingles decides the work and never the result. sets: (doc_id, comp, shingles).
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            n += np.bincount(_bucket(_listed(batch, "shingles")[0]), minlength=BUCKETS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["bucket", "n"])
+
+    counts = np.zeros(BUCKETS, np.int64)
+    found = sets.select("shingles").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > CROWD).toArrow()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, ends = _listed(batch, "shingles")
+            chosen = []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                own = values[a:b]
+                turn = np.lexsort((own, shared.value[_bucket(own)]))
+                chosen.append(own[turn[: len(own) - (percent * len(own) + 99) // 100 + 1]] if len(own) else own)
+            rows = np.repeat(np.arange(len(chosen)), [len(x) for x in chosen])
+            ids = batch.select(["comp", "doc_id"]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*chosen, values[:0]])), ids.column(0), ids.column(1)], names=["region", "comp", "doc_id"])
+
+    return sets.select("comp", "doc_id", "shingles").mapInArrow(rarest, "region bigint, comp bigint, doc_id bigint")
+
+
+def rare_links(rows: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """Links, exactly, among the documents of a shingle that is among the rarest of more than ``CROWD``.
+
+    They go block against block, on full sets, and as many links come out as join what is joined. Shingles that the same
+    documents share are asked once. rows: crowded ones of ``rare_shingles`` with their size; sets: (doc_id, comp, shingles).
+    """
+    groups = rows.join(sets.select("doc_id", F.size("shingles").alias("n")), "doc_id").groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who"))
+    groups = groups.groupBy("docs", "n", "who").agg(F.min("region").alias("region"))
+    groups = scratch.table(groups.select("region", F.ceil(F.greatest(F.col("docs") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("nb")), "rare-groups")
+    dealt = rows.select("region", "doc_id").join(groups, "region").withColumn("k", F.pmod(F.xxhash64("doc_id"), "nb").cast("int")).select("region", "doc_id", "k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    dealt = dealt.select("region", "doc_id", "k", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi")).join(sets, "doc_id")
+    return scratch.table(dealt.groupBy("region", "lo", "hi").applyInPandas(_joining_links(percent), "a bigint, b bigint"), "rare-links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable, itself included) and kept (doc_id = component_id)."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -284,8 +348,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = scratch.table(every.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).filter("rep is not null"), "classes")
     sigs = classes.select(F.col("rep").alias("doc_id"), F.col("rep").alias("comp"), "sig")
     # A first look at all orders says which documents share any region; only these need their signatures and full sets.
-    forest = HASHES // LEAST_DEPTH
-    members = scratch.table(regions(sigs, 0, forest, LEAST_DEPTH), "members")
+    members = scratch.table(regions(sigs), "members")
     shared = scratch.table(members.select("doc_id").distinct(), "shared")
     wanted = if_few(shared)
     sigs = scratch.table(sigs.join(wanted, "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
@@ -327,16 +390,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         links.append(found)
         # What meets a component where it is large has now been asked; other regions keep their pairs with it.
         members = scratch.table(members.filter(F.col("size") <= CROWD).unionByName(_shared(rest.drop("size")).select(members.columns)), "members3")
-    small, crowded = _deeper(members, sigs, 0, forest, LEAST_DEPTH, scratch, "forest")
-    ask(neighbours(small).unionByName(chains(crowded)), "leaf")
+    ask(neighbours(members.filter(F.col("size") <= CROWD)), "leaf")
     now = joined("leaf")
-    crowd = scratch.table(members.filter(F.col("size") > CROWD).select("doc_id").distinct(), "crowd")
+    crowd = scratch.table(_shared(members.filter(F.col("size") > CROWD).drop("comp", "size").join(now, "doc_id")).select("doc_id").distinct(), "crowd")
     if not crowd.isEmpty():
-        dense = sigs.join(crowd, "doc_id", "left_semi").join(now, "doc_id")
-        members = scratch.table(regions(dense, forest, DEEP_ORDERS, DEEP_DEPTH), "deep")
-        small, crowded = _deeper(members, sigs, forest, DEEP_ORDERS, DEEP_DEPTH, scratch, "deeper")
-        ask(neighbours(small).unionByName(chains(crowded)), "deep-leaf")
-        now = joined("deep")
+        dense = scratch.table(sets.join(crowd, "doc_id", "left_semi").join(now, "doc_id").select("doc_id", "comp", "shingles"), "dense")
+        rare = scratch.table(_shared(rare_shingles(dense, percent)), "rare")
+        ask(neighbours(rare.filter(F.col("size") <= CROWD)), "rare-leaf")
+        links.append(rare_links(rare.filter(F.col("size") > CROWD), dense, scratch, percent))
+        now = joined("rare")
     tied = classes.select("set_a", "set_b", F.col("rep").alias("doc_id")).join(now, "doc_id", "left").select("set_a", "set_b", F.coalesce("comp", "doc_id").alias("comp"))
     out = every.select("doc_id", "n_shingles", "set_a", "set_b").join(tied, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     return scratch.result(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

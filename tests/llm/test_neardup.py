@@ -78,6 +78,17 @@ def test_a_crowd_of_forms_that_share_a_template(docs_of):
     check(list(enumerate(texts)), docs_of)
 
 
+def test_a_crowd_of_forms_that_no_order_tells_apart_loses_no_link(docs_of, monkeypatch):
+    """Forms a little below the threshold, in one region however deep it is split, with pairs above it."""
+    monkeypatch.setattr(neardup, "orders", lambda *_: [[999] * 16])
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    rng = random.Random(6)
+    form = words(rng, 120)
+    texts = [" ".join(form + words(rng, 24)) for _ in range(60)]
+    texts += [" ".join(changed(rng, texts[i].split(), 3)) for i in range(0, 60, 3)]
+    check(list(enumerate(texts)), docs_of)
+
+
 def test_a_component_is_asked_in_every_crowd_where_it_is_large_and_stays_in_the_others(spark):
     """Component 0 is large in region 1 only, 100 in region 2 only; in region 3 both are few beside others."""
     from findlode.llm.shared import Scratch
