@@ -143,15 +143,18 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = ORDER) -> Trees | None:
     """Trees of the languages labelled outside the held-out part, from about ``sample_texts`` distinct texts of each.
 
-    Texts are chosen by their hash, at a rate that follows from the language's number of documents, and copies of a text
-    count once; they are whole texts.
+    Texts are chosen by their hash, at a rate that follows from the language's number of distinct texts, and copies of a
+    text count once; they are whole texts. The text of the least hash is always chosen, so that every language has one.
     """
     known = only(docs, "doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    known = known.filter(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("hash"))
+    place = F.pmod("hash", F.lit(1 << 20))
+    told = known.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct(place, "hash")).alias("first")).collect()
+    if not told:
         return None
-    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_texts / n)))])
-    chosen = known.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(rates, F.col("lang")) * (1 << 20)))
+    of = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for pair in values for x in pair]), F.col("lang"))
+    rate = of([(r["lang"], min(1.0, sample_texts / r["n"])) for r in told])
+    chosen = known.filter((place < rate * (1 << 20)) | (F.col("hash") == of([(r["lang"], r["first"]["hash"]) for r in told])))
     samples: dict[str, list[bytes]] = {}
     for row in chosen.select("lang", "text").distinct().collect():
         samples.setdefault(row["lang"], []).append(row["text"].encode())

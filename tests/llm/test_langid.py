@@ -81,6 +81,22 @@ def test_only_text_decides_and_held_out_labels_teach_nothing(spark, docs_of):
     assert {d: tuple(r) for d, r in got.items()} == {d: tuple(r) for d, r in again.items()}
 
 
+def test_copies_and_nulls_do_not_thin_out_what_is_learned_from(spark):
+    rng = random.Random(6)
+    few = [sample(rng, "aa", 200) for _ in range(10)]
+    rows = [(i, few[i % 10], "aa") for i in range(3000)] + [(3000 + i, None, "bb") for i in range(1500)] + [(4500 + i, sample(rng, "bb", 50), "bb") for i in range(60)] + [(5000 + i, sample(rng, "cc", 20), "cc") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {}
+    real, langid.Trees = langid.Trees, lambda samples, order: kept.update(samples)
+    try:
+        langid.learn(docs, 100)
+        assert len(kept["aa"]) == 10 and len(kept["bb"]) == len({t for d, t, lang in rows if lang == "bb" and t and zlib.crc32(str(d).encode()) % 4 != 2}) and 60 < len(kept["cc"]) < 140
+        langid.learn(docs, 0)
+        assert {lang: len(texts) for lang, texts in kept.items()} == {"aa": 1, "bb": 1, "cc": 1}
+    finally:
+        langid.Trees = real
+
+
 def test_undecided_texts_nulls_and_empty_tables(docs_of, odd, spark):
     rows = [*((i, t) for i, t in enumerate(odd)), (None, "many words"), (50, "12 34 !"), (51, "Ж"), (51, "Ж")]
     got = langid.language(docs_of(rows, extra=True)).collect()
