@@ -85,13 +85,17 @@ def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fx.region_csv(q, d, t, F.col("l_extendedprice")).alias("region"), fx.transform_csv(F.array(t, d, q, t, d, q)).alias("h"))
 
 
+#: First documents that are verified, as many as the engine does.
+DEPTH = 200
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
     """Putative pairs of items and their first documents: the same word, at (its place, ten times its length), all circles.
 
     A passage that a document holds word by word is the item moved along the text.
     """
     c = Corpus(spark, sf_dir)
-    first = c.ranked(20)
+    first = c.ranked(DEPTH)
     wide = lambda side, pos, word: [F.col(pos).cast("double").alias(f"{side}x"), (F.length(word) * 10).cast("double").alias(f"{side}y"), F.lit(1.0).alias(f"{side}a"), F.lit(0.0).alias(f"{side}b"), F.lit(1.0).alias(f"{side}c")]
     q = item_postings(spark, sf_dir).select("query_id", "word", F.col("pos").cast("bigint").alias("q_feat"), *wide("q_", "pos", "word"))
     d = index.text_postings(c.docs).join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "word", F.col("pos").cast("bigint").alias("feat_id"), *wide("", "pos", "word"))
@@ -103,7 +107,7 @@ def _passages(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
 def ransac_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items' first documents again, by how many of the item's words fit one shift. The search is a loop; tests recover known transforms."""
     first, pairs = _passages(spark, sf_dir)
-    return geo.reranked(first, pairs, 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "inliers")
+    return geo.reranked(first, pairs, DEPTH).select("query_id", "doc_id", F.round("score", 6).alias("score"), "inliers")
 
 
 @query()
