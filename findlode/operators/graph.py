@@ -49,26 +49,24 @@ def _reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
             return now
 
 
-def strong_components(edges: DataFrame, threshold: float | None = None, rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame, threshold: float | None = None) -> DataFrame:
     """(node, comp): nodes that reach each other along directed edges, named by their smallest node.
 
     Each round every node takes the smallest node that reaches it as its colour; the nodes of a colour that reach its
-    root back are a component, and leave the graph.
+    root back are a component, and leave the graph. Each round takes a node at least, so it ends when none is left.
     """
     links = edges if threshold is None else edges.filter(F.col("score") >= threshold)
     links = checkpointed(links.select("src", "dst").distinct())
-    left = checkpointed(links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct())
-    out = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    left = checkpointed(links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).filter("node is not null").distinct())
+    out = left.filter("false").select("node", F.col("node").alias("comp"))
+    while not left.isEmpty():
         colours = _reached(links, left.select("node", F.col("node").alias("colour")))
         same = links.join(colours.withColumnRenamed("node", "src").withColumnRenamed("colour", "c1"), "src").join(colours.withColumnRenamed("node", "dst").withColumnRenamed("colour", "c2"), "dst").filter("c1 = c2")
         backward = checkpointed(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         roots = colours.filter("node = colour")
         home = _reached(backward, roots)
         found = checkpointed(home.join(colours.withColumnRenamed("colour", "c"), "node").filter("colour = c").select("node", F.col("c").alias("comp")))
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(found)
         left = checkpointed(left.join(found, "node", "left_anti"))
         links = checkpointed(links.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     return out

@@ -31,6 +31,13 @@ def test_components_and_strong_components(spark, seed):
     assert {r["node"]: r["comp"] for r in graph.strong_components(table, 0.5).collect()} == want
 
 
+def test_strong_components_end_when_no_node_is_left(spark):
+    import inspect
+
+    assert "rounds" not in inspect.signature(graph.strong_components).parameters
+    assert graph.strong_components(spark.createDataFrame([], "src bigint, dst bigint")).collect() == []
+
+
 def test_image_graph_drops_itself_and_low_scores(spark):
     rows = spark.createDataFrame([(1, 1, 9.0), (1, 2, 5.0), (1, 3, 5.0), (1, 4, 0.1), (2, 1, 0.2)], "src bigint, dst bigint, score double")
     assert sorted(tuple(r) for r in graph.image_graph(rows, 1, 0.3).collect()) == [(1, 2, 5.0)]
