@@ -3,7 +3,7 @@
 A document's tokens are cut at multiples of the window; the whole windows are sequences of their own. The remainders go
 by their lengths: shallow combinations of two or three lengths that fill a window are enumerated, non-negative least
 squares finds how often each is to be used so that together they match the histogram of lengths, and the counts are
-rounded down. What is left is packed greedily, longest first, each sequence being filled up with the start of the next
+rounded by their largest remainders. What is left is packed greedily, longest first, each sequence being filled up with the start of the next
 remainder; the last sequence is cut at powers of two, which need no padding.
 
 Blocks of documents are packed on their own, in the task that reads them: nothing is shuffled and nothing waits for
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from findlode.llm import textscan as ts
 from findlode.llm.shared import only
 from findlode.llm.tokens import encoder
 
@@ -33,6 +34,8 @@ END_ID = 0
 #: A third length of a combination is a multiple of this; bounds the number of combinations.
 GRAIN = 64
 ROUNDS = 200
+#: A combination whose count has a smaller remainder than this isn't rounded up.
+LEAST_REMAINDER = 0.01
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -74,8 +77,9 @@ def solve(combos: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np
 
 
 def whole_counts(combos: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """The solution rounded down, and lowered where lengths run out."""
-    counts = np.floor(x + 1e-6).astype(np.int64)
+    """The solution in whole numbers that the lengths suffice for: rounded down first, then up by the largest remainders."""
+    floors = np.floor(x + 1e-6).astype(np.int64)
+    counts = floors.copy()
     left = histogram.astype(np.int64)
     for k in np.argsort(-x, kind="stable"):
         if not counts[k]:
@@ -83,6 +87,18 @@ def whole_counts(combos: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> np
         own, times = np.unique(combos[k][combos[k] > 0], return_counts=True)
         counts[k] = min(counts[k], int((left[own] // times).min()))
         left[own] -= counts[k] * times
+    over = x - floors
+    for k in np.argsort(-over, kind="stable")[: np.count_nonzero(over > LEAST_REMAINDER)].tolist():
+        a, b, c = combos[k].tolist()
+        left[a] -= 1
+        left[b] -= 1
+        left[c] -= c > 0
+        if min(left[a], left[b], left[c]) < 0:
+            left[a] += 1
+            left[b] += 1
+            left[c] += c > 0
+        else:
+            counts[k] += 1
     return counts
 
 
@@ -180,8 +196,8 @@ def packed(docs: DataFrame, path: str | None = None, end_id: int = END_ID, windo
             return out
 
         for batch in batches:
-            for k in range(0, len(batch), 1024):
-                part = batch.slice(k, 1024)
+            for a, b in ts.pieces(batch.column(1)):
+                part = batch.slice(a, b - a)
                 some = _ids_of(path, part.column(1).to_pylist(), end_id)
                 names += part.column(0).to_pylist()
                 ids += some

@@ -1,7 +1,8 @@
 """Token ids in length-delimited binary records, with an offset index for shuffled reads.
 
 A folder holds ``shard-NNNNN.rec`` files and an index. Documents are in ascending doc_id order over the shards taken one
-after another (documents without an id first). A record is
+after another (documents without an id first; rows of one id by their texts' hashes, so that a task that runs again
+writes the same). A record is
 
     length of the payload   8 bytes, unsigned, little-endian
     masked crc32 of these   4 bytes
@@ -35,11 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from findlode.llm import textscan as ts
 from findlode.llm.packing import tokenizer_path
 from findlode.llm.shared import Scratch, only
-from findlode.llm.tokens import encoder
+from findlode.llm.tokens import encoder, release
 
 END_ID = 2
+#: Bytes of text of a shard, about, at most.
+SHARD_BYTES = 1 << 30
 _HEAD, _OWN, _CRC = "<QI", "<qB", "<I"
 _OWN_SIZE = struct.calcsize(_OWN)
 INDEX = "doc_id bigint, shard int, byte_offset bigint, local_start bigint, n_tokens bigint"
@@ -89,64 +93,49 @@ def _place(folder: str, shard: int) -> tuple[pyarrow.fs.FileSystem, str]:
     return system, f"{path}/shard-{shard:05d}.rec"
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """(shard, doc_id, data): each document's payload, and the shard that its id belongs to."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pack = encoder(path), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], own.dtype)
-        for batch in batches:
-            for k in range(0, len(batch), 1024):
-                part = batch.slice(k, 1024)
-                doc_ids = part.column(0).cast(pa.int64())
-                data = [payload(d, np.concatenate([ids, end]), pack) for d, ids in zip(doc_ids.to_pylist(), own.encode([t or "" for t in part.column(1).to_pylist()]), strict=True)]
-                shard = np.where(np.asarray(doc_ids.is_null()), 0, np.searchsorted(np.array(bounds, np.int64), doc_ids.fill_null(0).to_numpy(zero_copy_only=False), "left"))
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), doc_ids, pa.array(data, pa.binary())], names=["shard", "doc_id", "data"])
-
-    return only(docs, "doc_id", "text").mapInArrow(encode, "shard int, doc_id bigint, data binary")
-
-
 def write_records(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
-    """Writes all documents to ``folder``, an address that all executors reach, and returns the index, written there too."""
+    """Writes all documents to ``folder``, an address that all executors reach, and returns the index, written there too.
+
+    Texts are dealt out by ranges of (doc_id, hash of the text), so that rows of one doc_id, or without any, may fill
+    several shards; a shard's task encodes, frames and writes in one go. Shards have about ``SHARD_BYTES`` of text at most.
+    """
     spark = docs.sparkSession
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = [k / shards for k in range(1, shards)]
-    found = only(docs, "doc_id").agg(F.percentile_approx("doc_id", marks, 100 * shards).alias("b")).first()["b"] if marks else None
-    bounds = sorted(set(found or ()))  # a shard holds the ids up to its bound
+    path = path or tokenizer_path()
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("hash"))
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     system, local = pyarrow.fs.FileSystem.from_uri(folder)
     system.create_dir(local, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        unpack = zstandard.ZstdDecompressor()
-        stream, shard, final, own, at, start = None, None, "", None, 0, 0
-
-        def close() -> None:
-            stream.close()
-            own.move(f"{final}.{context.taskAttemptId()}", final)
-
+        own, pack = encoder(path), zstandard.ZstdCompressor(level=1)
+        end = np.array([end_id], own.dtype)
+        shard, stream, at, start = context.partitionId(), None, 0, 0
+        system, final = _place(folder, shard)
+        mine = f"{final}.{context.taskAttemptId()}"
         for batch in batches:
-            rows: list[tuple[int | None, int, int, int, int]] = []
-            for s, d, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if s != shard:
-                    if stream:
-                        close()
-                    shard, at, start = s, 0, 0
-                    own, final = _place(folder, s)
-                    stream = own.open_output_stream(f"{final}.{context.taskAttemptId()}", buffer_size=1 << 20)
-                _, flags = struct.unpack_from(_OWN, data)
-                n = len(unpack.decompress(data[_OWN_SIZE :])) // (2 if flags & 2 else 4)
-                frame = framed(data)
-                stream.write(frame)
-                rows.append((d, s, at, start, n))
-                at, start = at + len(frame), start + n
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], names=[f.split()[0] for f in INDEX.split(", ")])
+            for a, b in ts.pieces(batch.column(1)):
+                part = batch.slice(a, b - a)
+                places, starts, counts = [], [], []
+                stream = stream or system.open_output_stream(mine, buffer_size=1 << 20)
+                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    frame = framed(payload(doc_id, np.concatenate([ids, end]), pack))
+                    stream.write(frame)
+                    places.append(at)
+                    starts.append(start)
+                    counts.append(len(ids) + 1)
+                    at, start = at + len(frame), start + counts[-1]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(b - a, shard, np.int32)), *[pa.array(x, pa.int64()) for x in (places, starts, counts)]], names=[f.split()[0] for f in INDEX.split(", ")])
         if stream:
-            close()
+            stream.close()
+            system.move(mine, final)
 
-    placed = _encoded(docs, path or tokenizer_path(), end_id, bounds).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    placed = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     placed.mapInArrow(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
-    return spark.read.parquet(f"{folder}/index")
+    return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def shard_starts(index: DataFrame) -> DataFrame:
@@ -157,10 +146,12 @@ def shard_starts(index: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record, read from the files: doc_id, start (ids of all documents before it), n_tokens and ids_crc32."""
-    index = spark.read.parquet(f"{folder}/index")
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     shards = shard_starts(index)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # a worker that has encoded needs its memory for other things now
+
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[f.split()[0] for f in RECORDS.split(", ")])
 
@@ -179,7 +170,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = (shards.agg(F.max("shard")).first()[0] or 0) + 1
     return shards.repartitionById(n, "shard").mapInArrow(load, RECORDS)
 
 

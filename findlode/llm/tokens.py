@@ -141,3 +141,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The worker's own encoder of a file."""
     return Encoder(path)
+
+
+def release() -> None:
+    """Lets go of the worker's encoders and what they remember."""
+    encoder.cache_clear()
