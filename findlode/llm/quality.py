@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Every document gets its base figures. Those that pass the base test go through further rules one after another; a
-document that one rule rejects is not shown to the next. The order is found on a sample: each rule's time and share of
-rejections are measured there, and rules go by rejections per second. The order changes the cost, never the verdict.
+A document goes through rules one after another; one that a rule rejects is not shown to the next, and the figures that
+the next ones need are not worked out for it. The order is found on a sample: there every rule is timed from the words
+on, with all figures that it needs, and rules go by rejections per second. The order changes the cost, never the verdict.
+The base test is two of the rules. Where figures are returned beside the verdict (``quality_rules``), those are worked
+out for all documents; where they aren't (``keep_good``), nothing is.
 
 Cases: a null text counts as empty; a text without words has figures of 0 and fails the base test; an empty table gives
 an empty result; of extra columns none is read; repeated rows each get their row.
@@ -10,6 +12,7 @@ an empty result; of extra columns none is read; repeated rows each get their row
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,15 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from findlode.llm import textscan as ts
 from findlode.llm.shared import only, unnamed
 
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
-#: Rows from the head of every input split that the rules are timed on.
+#: The rules are timed on so many rows from the head of each of so many input splits, which lie evenly over all.
 SAMPLE_ROWS = 64
+SAMPLE_SPLITS = 8
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -39,17 +42,28 @@ _NOT_NEWLINE[10] = False
 
 
 class Texts:
-    """A run of texts with the figures that rules ask for."""
+    """A run of texts with the figures that rules ask for; a figure is worked out for the rows it is asked of, once."""
 
     def __init__(self, column: pa.Array) -> None:
         self.buf, self.offsets = ts.texts(column)
         self.starts, self.ends, self.hashes, self.first = ts.words_of(self.buf, self.offsets, lower=False)
         self.n_words = np.diff(self.first)
-        self.owner = np.repeat(np.arange(len(self.n_words)), self.n_words)
-        self.word_chars = self._per_word(np.diff(self._running((self.buf & 0xC0) != 0x80)[np.c_[self.starts, self.ends]], axis=1)[:, 0])
-        self.n_symbols = np.diff(self._running(_SYMBOL[self.buf])[self.offsets])
-        self._lines()
-        self._repeats()
+        self.rows = np.arange(len(self.n_words))
+        self._known: dict[str, np.ndarray] = {}
+
+    def figure(self, name: str, rows: np.ndarray | None = None) -> np.ndarray:
+        """The figure of ``rows``, or of all."""
+        rows = self.rows if rows is None else rows
+        known = self._known.setdefault(name, np.full(len(self.n_words), -1))
+        missing = rows[known[rows] < 0]
+        for run in np.split(missing, np.flatnonzero(np.diff(missing) != 1) + 1) if len(missing) else ():
+            a, b = int(run[0]), int(run[-1]) + 1
+            known[a:b] = getattr(self, f"_{name}")(a, b)
+        return known[rows]
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(self.rows, self.n_words)
 
     @staticmethod
     def _running(flags: np.ndarray) -> np.ndarray:
@@ -57,52 +71,72 @@ class Texts:
         np.cumsum(flags, out=out[1:])
         return out
 
-    def _per_word(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, values, len(self.n_words)).astype(np.int64) if len(values) else np.zeros(len(self.n_words), np.int64)
+    def _within(self, a: int, b: int) -> tuple[np.ndarray, int, slice, np.ndarray]:
+        """The bytes of the rows from a to b, where they begin, their words, and whose word each is."""
+        lo = int(self.offsets[a])
+        return self.buf[lo : int(self.offsets[b])], lo, slice(int(self.first[a]), int(self.first[b])), np.repeat(np.arange(b - a), self.n_words[a:b])
 
-    def _later(self, owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each key whether it equals an earlier one of its text, and whether it occurs there more than once."""
+    def _times(self, owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key whether it equals an earlier one of its text, and how often it occurs there."""
         _, first, which, counts = np.unique(ts.mix(keys + owner.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True, return_inverse=True, return_counts=True)
         later = np.ones(len(keys), bool)
         later[first] = False
-        return later, counts[which] > 1
-
-    def _lines(self) -> None:
-        begin, end = ts.runs(self.buf, self.offsets, _NOT_NEWLINE)
-        worded = np.searchsorted(self.starts, begin) < np.searchsorted(self.starts, end)
+        return later, counts[which]
+
+    def _n_symbols(self, a: int, b: int) -> np.ndarray:
+        buf, lo, _, _ = self._within(a, b)
+        return np.diff(self._running(_SYMBOL[buf])[self.offsets[a : b + 1] - lo])
+
+    def _word_chars(self, a: int, b: int) -> np.ndarray:
+        buf, lo, words, owner = self._within(a, b)
+        sums = self._running((buf & 0xC0) != 0x80)
+        return np.bincount(owner, sums[self.ends[words] - lo] - sums[self.starts[words] - lo], b - a)
+
+    def _worded_lines(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        buf, lo, words, _ = self._within(a, b)
+        offsets = self.offsets[a : b + 1] - lo
+        begin, end = ts.runs(buf, offsets, _NOT_NEWLINE)
+        starts = self.starts[words] - lo
+        worded = np.searchsorted(starts, begin) < np.searchsorted(starts, end)
         begin, end = begin[worded], end[worded]
-        owner = np.searchsorted(self.offsets, begin, "right") - 1
-        later, _ = self._later(owner, ts.span_hashes(self.buf, begin, end))
-        self.n_lines = np.bincount(owner, minlength=len(self.n_words))
-        self.n_dup_lines = np.bincount(owner[later], minlength=len(self.n_words))
-
-    def _repeats(self) -> None:
-        keys = ts.windows(self.hashes)
-        at = np.flatnonzero(self.owner[: len(keys)] == self.owner[ts.SHINGLE - 1 :][: len(keys)]) if len(keys) else np.empty(0, np.int64)
-        _, twice = self._later(self.owner[at], keys[at])
-        edges = np.zeros(len(self.hashes) + 1, np.int64)
+        return np.searchsorted(offsets, begin, "right") - 1, begin + lo, end + lo
+
+    def _n_lines(self, a: int, b: int) -> np.ndarray:
+        return np.bincount(self._worded_lines(a, b)[0], minlength=b - a)
+
+    def _n_dup_lines(self, a: int, b: int) -> np.ndarray:
+        owner, begin, end = self._worded_lines(a, b)
+        self._known.setdefault("n_lines", np.full(len(self.n_words), -1))[a:b] = np.bincount(owner, minlength=b - a)
+        later, _ = self._times(owner, ts.span_hashes(self.buf, begin, end))
+        return np.bincount(owner[later], minlength=b - a)
+
+    def _n_repeat_words(self, a: int, b: int) -> np.ndarray:
+        _, _, words, owner = self._within(a, b)
+        keys = ts.windows(self.hashes[words])
+        at = np.flatnonzero(owner[: len(keys)] == owner[ts.SHINGLE - 1 :][: len(keys)]) if len(keys) else np.empty(0, np.int64)
+        twice = self._times(owner[at], keys[at])[1] > 1
+        edges = np.zeros(len(owner) + 1, np.int64)
         np.add.at(edges, at[twice], 1)
         np.add.at(edges, at[twice] + ts.SHINGLE, -1)
-        self.n_repeat_words = self._per_word((np.cumsum(edges)[:-1] > 0).astype(np.int64))
-
-    def words_with(self, flags: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """For each of ``rows`` the number of its words that hold a byte of the class."""
-        out = np.zeros(len(rows), np.int64)
-        for k, i in enumerate(rows):
-            a, b = self.first[i], self.first[i + 1]
-            if b > a:
-                lo = self.starts[a]
-                sums = self._running(flags[self.buf[lo : self.ends[b - 1]]])
-                out[k] = np.count_nonzero(sums[self.ends[a:b] - lo] > sums[self.starts[a:b] - lo])
-        return out
+        return np.bincount(owner[np.cumsum(edges)[:-1] > 0], minlength=b - a)
+
+    def _with(self, flags: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The words that hold a byte of the class."""
+        buf, lo, words, owner = self._within(a, b)
+        sums = self._running(flags[buf])
+        return np.bincount(owner[sums[self.ends[words] - lo] > sums[self.starts[words] - lo]], minlength=b - a)
+
+    def _lettered(self, a: int, b: int) -> np.ndarray:
+        return self._with(_LETTER, a, b)
 
-    def most_frequent(self, rows: np.ndarray) -> np.ndarray:
-        """For each of ``rows`` how often its commonest word occurs."""
-        out = np.zeros(len(rows), np.int64)
-        for k, i in enumerate(rows):
-            own = self.hashes[self.first[i] : self.first[i + 1]]
-            if len(own):
-                out[k] = np.unique(own, return_counts=True)[1].max()
+    def _numbered(self, a: int, b: int) -> np.ndarray:
+        return self._with(_DIGIT, a, b)
+
+    def _commonest(self, a: int, b: int) -> np.ndarray:
+        """How often the commonest word occurs."""
+        _, _, words, owner = self._within(a, b)
+        out = np.zeros(b - a, np.int64)
+        np.maximum.at(out, owner, self._times(owner, self.hashes[words])[1])
         return out
 
 
@@ -114,48 +148,69 @@ class Rule:
     rejects: Callable[[Texts, np.ndarray], np.ndarray]
 
 
+BASE = (
+    Rule("few_words", lambda t, r: t.n_words[r] < 10),
+    Rule("repeats", lambda t, r: 100 * t.figure("n_repeat_words", r) > 20 * t.n_words[r]),
+)
 RULES = (
-    Rule("symbols", lambda t, r: 10 * t.n_symbols[r] > t.n_words[r]),
-    Rule("word_length", lambda t, r: (t.word_chars[r] < 2 * t.n_words[r]) | (t.word_chars[r] > 15 * t.n_words[r])),
-    Rule("duplicate_lines", lambda t, r: 10 * t.n_dup_lines[r] > 5 * t.n_lines[r]),
-    Rule("letterless_words", lambda t, r: 10 * t.words_with(_LETTER, r) < 5 * t.n_words[r]),
-    Rule("digit_words", lambda t, r: 10 * t.words_with(_DIGIT, r) > 5 * t.n_words[r]),
-    Rule("one_word", lambda t, r: 10 * t.most_frequent(r) > 3 * t.n_words[r]),
+    Rule("symbols", lambda t, r: 10 * t.figure("n_symbols", r) > t.n_words[r]),
+    Rule("word_length", lambda t, r: (t.figure("word_chars", r) < 2 * t.n_words[r]) | (t.figure("word_chars", r) > 15 * t.n_words[r])),
+    Rule("duplicate_lines", lambda t, r: 10 * t.figure("n_dup_lines", r) > 5 * t.figure("n_lines", r)),
+    Rule("letterless_words", lambda t, r: 10 * t.figure("lettered", r) < 5 * t.n_words[r]),
+    Rule("digit_words", lambda t, r: 10 * t.figure("numbered", r) > 5 * t.n_words[r]),
+    Rule("one_word", lambda t, r: 10 * t.figure("commonest", r) > 3 * t.n_words[r]),
 )
 
+FIGURES = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"
 
 
 def base_failed(t: Texts) -> np.ndarray:
-    return (t.n_words < 10) | (100 * t.n_repeat_words > 20 * t.n_words)
+    return np.logical_or(*(rule.rejects(t, t.rows) for rule in BASE))
+
 
+def measured(column: pa.Array, rules: tuple[Rule, ...]) -> dict[str, tuple[float, int, int]]:
+    """For each rule its seconds, rejections and texts; no rule gains from what another has worked out."""
+    found = dict.fromkeys((r.name for r in rules), (0.0, 0, 0))
+    for a, b in ts.pieces(column):
+        t = Texts(column.slice(a, b - a))
+        for rule in rules:
+            t._known.clear()
+            began = time.perf_counter()
+            hits = int(np.count_nonzero(rule.rejects(t, t.rows)))
+            s, h, n = found[rule.name]
+            found[rule.name] = (s + time.perf_counter() - began, h + hits, n + b - a)
+    return found
 
-def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second, as measured on the first ``sample_rows`` rows of every input split.
 
-    Each task returns one row for a rule, and these are summed before anything reaches the driver.
+def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, sample_rows: int = SAMPLE_ROWS, splits: int = SAMPLE_SPLITS) -> tuple[Rule, ...]:
+    """The rules by rejections per second, as measured on the first rows of some input splits.
+
+    Other splits aren't read. A task returns a few numbers per rule.
     """
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = Texts(batch.column(0).slice(0, sample_rows))
-            rows = np.flatnonzero(~base_failed(t))
-            took, hits = [], []
-            for rule in rules:
-                began = time.perf_counter()
-                hits.append(int(np.count_nonzero(rule.rejects(t, rows))))
-                took.append(time.perf_counter() - began)
-            yield pa.RecordBatch.from_pydict({"name": [r.name for r in rules], "s": took, "hits": hits, "n": [len(rows)] * len(rules)})
-            return
+    def measure(rows: Iterator) -> list[dict[str, tuple[float, int, int]]]:
+        return [measured(pa.array([r[0] for r in itertools.islice(rows, sample_rows)], pa.string()), rules)]
+
+    texts = only(docs, "text").rdd
+    n = texts.getNumPartitions()
+    some = sorted({k * n // splits for k in range(splits)}) if n else []
+    found = docs.sparkSession.sparkContext.runJob(texts, measure, some) if some else []
+
+    def rate(name: str) -> float:
+        s, hits, seen = (sum(x[name][i] for x in found) for i in range(3))
+        return (hits + 1) / (seen + 2) / max(s, 1e-9)
+
+    return tuple(sorted(rules, key=lambda r: (-rate(r.name), r.name)))
+
 
-    found = only(docs, "text").mapInArrow(measure, "name string, s double, hits bigint, n bigint").groupBy("name").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()
-    rate = {r["name"]: (r["hits"] + 1) / (r["n"] + 2) / max(r["s"], 1e-9) for r in found}
-    return tuple(sorted(rules, key=lambda r: (-rate.get(r.name, 0.0), r.name)))
+def with_base(order: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    return tuple(order) + tuple(rule for rule in BASE if rule not in order)
 
 
 def verdicts(t: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
-    """For each text whether it passes the base test and all rules; a rule sees only what earlier ones let through."""
-    kept = ~base_failed(t)
+    """For each text whether it passes all rules; a rule sees only what earlier ones let through."""
+    kept = np.ones(len(t.n_words), bool)
     for rule in rules:
         rows = np.flatnonzero(kept)
         if not len(rows):
@@ -166,13 +221,13 @@ def verdicts(t: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: tuple[Rule, ...] | None = None) -> DataFrame:
     """A row per document with its figures and verdict. One pass, no shuffle."""
-    ordered = order or cascade_order(docs, rules)
+    ordered = with_base(order or cascade_order(docs, BASE + rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in ts.pieces(batch.column(1)):
                 t = Texts(batch.column(1).slice(a, b - a))
-                numbers = [t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words]
+                numbers = [t.n_words, *(t.figure(name) for name in FIGURES)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), *[pa.array(x, pa.int64()) for x in numbers], pa.array(base_failed(t)), pa.array(verdicts(t, ordered))], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return only(docs, "doc_id", "text").mapInArrow(judge, SCHEMA)
@@ -180,7 +235,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: tuple
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: tuple[Rule, ...] | None = None) -> DataFrame:
     """The documents that pass, with all their columns. One pass, no shuffle and no join."""
-    ordered = order or cascade_order(docs, rules)
+    ordered = with_base(order or cascade_order(docs, BASE + rules))
     at = docs.columns.index("text")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
