@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from findlode.llm import secrets
 
@@ -60,6 +61,18 @@ def test_many_matches_in_one_text_cross_the_blocks_of_prefix_sums(docs_of, rows_
     check(docs_of, rows_of, [" é ".join(f"token=abcdefgh{i}" for i in range(700)), "x"])
 
 
+def test_a_long_dump_of_keys_takes_seconds(docs_of, rows_of):
+    """A text of 5 MB with 60,000 base spans and 60,000 candidates beside them, one in four of which touches a base span."""
+    rng = random.Random(8)
+    hexes = ["%032x" % rng.getrandbits(128) for _ in range(60_000)]
+    text = "".join(f"{h}{'_' if i % 4 == 0 else ' '}Ab1{h.upper()[:20]}\n" for i, h in enumerate(hexes))
+    began = time.monotonic()
+    got = rows_of(secrets.secrets(docs_of([text, None])))[0]
+    took = time.monotonic() - began
+    assert got["n_hex"] == 60_000 and got["n_added"] == 45_000
+    assert got["spans"].startswith("hex:0:32,hex:57:89,owned:90:113") and took < 60, took
+
+
 def test_widely_copied_candidates_are_examples(docs_of, rows_of):
     key = "Qx7Qx7Qx7Qx7Qx7Qx7Qx7Qx7"
     texts = [f"use {key} here"] * 6 + ["mine is Ab1Ab1Ab1Ab1Ab1Ab1Ab1Ab1 ok"] + ["password=sharedvalue"] * 5
