@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from findlode.llm.shared import only
+from findlode.llm.shared import if_few, only
 
 #: The parts of an address.
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -36,28 +36,31 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def keys(captures: DataFrame) -> DataFrame:
-    """The captures (page_id, url, fetch_date) with their host and an array of (kind, key, weight), the most specific the heaviest."""
+    """The captures (page_id, url, fetch_date) with a hash of the url, their host and an array of (kind, key, weight), the most specific the heaviest."""
     host = F.lower(F.regexp_extract("url", _HOST, 1))
     path = F.regexp_extract("url", _PATH, 1)
-    rows = captures.select("page_id", F.col("fetch_date").cast("date").alias("fetch_date"), F.nullif(host, F.lit("")).alias("host"), path.alias("path"))
+    rows = captures.select("page_id", F.xxhash64("url").alias("own"), F.col("fetch_date").cast("date").alias("fetch_date"), F.nullif(host, F.lit("")).alias("host"), path.alias("path"))
     labels, parts = F.split("host", r"\."), F.filter(F.split("path", "/"), lambda x: x != "")
     key = lambda kind, value, weight: F.struct(F.lit(kind).alias("kind"), value.alias("key"), weight.cast("int").alias("weight"))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), "."), F.size(labels) - i))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: key("prefix", F.concat(F.col("host"), F.lit("/"), F.lower(F.array_join(F.slice(parts, 1, i), "/"))), i + 1000))
     own = F.array(key("host", F.col("host"), F.lit(500)))
     every = F.when(F.col("host").isNull(), None).when(F.size(parts) > 0, F.concat(domains, own, prefixes)).otherwise(F.concat(domains, own))
-    return rows.select("page_id", "fetch_date", "host", every.alias("keys"))
+    return rows.select("page_id", "own", "fetch_date", "host", every.alias("keys"))
 
 
 def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """page_id, host, n_active (keys listed as of the fetch date), blocked, and the most specific key, its category and date."""
+    """page_id, host, n_active (keys listed as of the fetch date), blocked, and the most specific key, its category and date.
+
+    A list that is counted as short is broadcast: then a capture's keys meet it where the capture is read, and what is
+    shuffled are hits alone. Beyond that both are dealt out by the key, and Spark splits the keys that crowd.
+    """
     asked = keys(only(captures, "page_id", "url", "fetch_date"))
-    active = intervals(entries)
-    distinct = asked.select("page_id", "fetch_date", "host", "keys").distinct()
-    rows = distinct.select("page_id", "fetch_date", "host", F.explode("keys").alias("x")).select("page_id", "fetch_date", "host", "x.kind", "x.key", "x.weight")
+    active = if_few(intervals(entries))
+    rows = asked.select("page_id", "fetch_date", "own", F.explode("keys").alias("x")).select("page_id", "fetch_date", "own", "x.kind", "x.key", "x.weight")
     hits = rows.join(active, ["kind", "key"]).filter("fetch_date >= since and (until is null or fetch_date < until)")
-    best = hits.groupBy("page_id", "fetch_date", "host").agg(F.count("*").alias("n_active"), F.max(F.struct("weight", "kind", "key", "category", "since")).alias("best"))
-    best = best.select(*[F.col(c).alias(f"own_{c}") for c in ("page_id", "fetch_date", "host")], "n_active", "best")
-    same = F.col("page_id").eqNullSafe(F.col("own_page_id")) & F.col("fetch_date").eqNullSafe(F.col("own_fetch_date")) & F.col("host").eqNullSafe(F.col("own_host"))
-    out = asked.join(best, same, "left")
+    # A set of hits is no longer than its address has keys; repeated captures add nothing to it.
+    best = hits.groupBy("page_id", "fetch_date", "own").agg(F.collect_set(F.struct("weight", "kind", "key", "category", "since")).alias("hits"))
+    best = best.select(*[F.col(c).alias(f"{c}_") for c in ("page_id", "fetch_date", "own")], F.size("hits").alias("n_active"), F.array_max("hits").alias("best"))
+    out = asked.join(best, F.col("page_id").eqNullSafe(F.col("page_id_")) & (F.col("fetch_date") == F.col("fetch_date_")) & (F.col("own") == F.col("own_")), "left")
     return out.select("page_id", "host", F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"), F.col("best").isNotNull().alias("blocked"), F.concat_ws(":", "best.kind", "best.key").alias("entry"), F.col("best.category").alias("category"), F.col("best.since").cast("string").alias("since"))

@@ -58,3 +58,13 @@ def test_long_addresses_and_no_python_in_the_plan(spark):
     out = urlfilter.filtered(pages, entries)
     assert [r["entry"] for r in out.collect()] == ["prefix:x.org/a/a"]
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_two_addresses_of_one_page_id_are_told_apart_and_a_hot_key_is_shuffled_away(spark):
+    rows = [(1, f"https://a{i}.com/x", "2024-02-01") for i in range(300)] + [(1, "https://a0.com/bad", "2024-02-01")] * 3 + [(None, "https://a0.com/bad", "2024-02-01")]
+    captures = spark.createDataFrame(rows, "page_id bigint, url string, fetch_date string")
+    entries = spark.createDataFrame([("prefix", "a0.com/bad", "c", "add", "2024-01-01"), ("host", "a7.com", "c", "add", "2024-01-01")], "kind string, key string, category string, action string, entry_date string")
+    out = urlfilter.filtered(captures, entries)
+    got = [r for r in out.collect() if r["blocked"]]
+    assert sorted((r["page_id"] is None, r["host"], r["entry"], r["n_active"]) for r in got) == [(False, "a0.com", "prefix:a0.com/bad", 1)] * 3 + [(False, "a7.com", "host:a7.com", 1), (True, "a0.com", "prefix:a0.com/bad", 1)]
+    assert out.count() == len(rows) and "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
