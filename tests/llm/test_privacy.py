@@ -25,7 +25,7 @@ def luhn(s):
 
 def brute(text):
     text = text or ""
-    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)] if "@" in text else []  # without one there is none, and the pattern is quadratic
     out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
     out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
@@ -75,6 +75,41 @@ def test_instances_that_trusted_patterns_surround_teach_new_patterns(docs_of, ro
     assert once[60]["n_context"] == 1 and once[76]["n_context"] == 0
 
 
+def test_numbers_names_and_spelled_out_addresses_under_trusted_patterns(docs_of, rows_of):
+    known = [f"please call us at user{i}@mail.example.com if needed" for i in range(100)]
+    unseen = ["please call us at 555 014 2299 if needed", "please call us at (555) 010-9999, if needed", "please call us at 0555 123 456.", "please call us at john [at] mail [dot] org if needed", "please call us at JohnSmith! if needed", "we sold 555 014 2299 of them", "call John now"]
+    got = rows_of(privacy.personal_data(docs_of(known + unseen)))
+    found = lambda i: [unseen[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[100 + i]["spans"].split(",") if s]
+    assert [found(i) for i in range(7)] == [["555 014 2299"], ["(555) 010-9999"], ["0555 123 456"], ["john [at] mail [dot] org"], ["JohnSmith"], [], []]
+
+
+def test_words_after_an_instance_are_a_pattern_too(docs_of, rows_of):
+    known = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}x said user{i}@mail.example.com is mine" for i in range(60)]
+    got = rows_of(privacy.personal_data(docs_of([*known, "and 0555-1234 is mine"])))
+    assert got[60]["spans"] == "context:4:13"
+
+
+def test_a_pattern_that_mostly_surrounds_words_is_not_trusted(docs_of, rows_of):
+    known = [f"reach me at user{i}@mail.example.com" for i in range(20)]
+    words = [f"reach me at {a}{b}oon" for a in "bcdfghjklmn" for b in "aeiouy"]
+    got = rows_of(privacy.personal_data(docs_of([*known, *words, "reach me at 0555-1234"])))
+    assert not any(got[i]["n_context"] for i in range(len(known) + len(words) + 1))
+
+
+def test_long_words_before_a_mark_are_taken_whole(docs_of, rows_of):
+    long = "q" * 200
+    known = [f"{long} {long}x user{i}@mail.example.com" for i in range(30)]
+    got = rows_of(privacy.personal_data(docs_of([*known, f"{long} {long}x 0555-1234", f"{long} {long}y 0555-1234", f"q {long[1:]}x 0555-1235"])))
+    assert [got[30 + i]["n_context"] for i in range(3)] == [1, 0, 0]
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_spans(docs_of):
+    known = [(i, f"please reach me at user{i}@mail.example.com today") for i in range(30)]
+    rows = [*known, (40, "please reach me at 555-0142 today"), (40, "nothing of the kind"), (None, "please reach me at 555-0143 today")]
+    got = sorted((str(r["doc_id"]), r["spans"]) for r in privacy.personal_data(docs_of(rows)).collect() if r["n_context"] or r["doc_id"] == 40)
+    assert got == [("40", ""), ("40", "context:19:27"), ("None", "context:19:27")]
+
+
 def test_redaction(docs_of, odd):
     texts = ["mail a.b@c.de or 10.0.0.1!", "nothing here", *odd]
     docs = docs_of(texts, extra=True)
