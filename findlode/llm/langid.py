@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findlode.llm import textscan as ts
-from findlode.llm.shared import only
+from findlode.llm.shared import Scratch, only
 
 #: Bytes of context at most.
 ORDER = 3
 #: Distinct texts that are learned from per language, about.
 SAMPLE_TEXTS = 250
+#: Bytes of them, at most, beyond a language's first text.
+SAMPLE_BYTES = 4 << 20
 _PIECE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -140,11 +142,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = ORDER) -> Trees | None:
+def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
     """Trees of the languages labelled outside the held-out part, from about ``sample_texts`` distinct texts of each.
 
     Texts are chosen by their hash, at a rate that follows from the language's number of distinct texts, and copies of a
-    text count once; they are whole texts. The text of the least hash is always chosen, so that every language has one.
+    text count once; they are whole texts. The text of the least hash is always chosen, so that every language has one;
+    of the others as many as have ``sample_bytes`` with it.
     """
     known = only(docs, "doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.filter(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("hash"))
@@ -155,9 +158,20 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = ORDER)
     of = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for pair in values for x in pair]), F.col("lang"))
     rate = of([(r["lang"], min(1.0, sample_texts / r["n"])) for r in told])
     chosen = known.filter((place < rate * (1 << 20)) | (F.col("hash") == of([(r["lang"], r["first"]["hash"]) for r in told])))
+    scratch = Scratch(docs.sparkSession, "langid")
+    chosen = scratch.table(chosen.dropDuplicates(["lang", "hash"]).withColumn("size", F.octet_length("text")), "chosen")
+    # The bytes that reach the driver are bounded too: texts in the order of their hashes, as far as they go.
+    wanted, held = [], {}
+    for row in chosen.select("lang", "hash", "size").orderBy("lang", place, "hash").collect():
+        held.setdefault(row["lang"], 0)
+        if not held[row["lang"]] or held[row["lang"]] + row["size"] <= sample_bytes:
+            held[row["lang"]] += max(1, row["size"])
+            wanted.append((row["lang"], row["hash"]))
+    some = docs.sparkSession.createDataFrame(wanted, "lang string, hash bigint")
     samples: dict[str, list[bytes]] = {}
-    for row in chosen.select("lang", "text").distinct().collect():
+    for row in chosen.join(F.broadcast(some), ["lang", "hash"]).select("lang", "text").collect():
         samples.setdefault(row["lang"], []).append(row["text"].encode())
+    scratch.close()
     return Trees({lang: sorted(texts) for lang, texts in samples.items()}, order) if samples else None
 
 

@@ -16,8 +16,9 @@ asked against all its documents, block by block and exactly (``crowd_links``). T
 forms filled in differently, are joined exactly by the rarest shingles of their full sets (``rare_links``).
 
 Cases: documents without words or text have an empty set and are linked with nothing; repeated rows of one doc_id are
-copies of each other and keep that id; a null doc_id is never the smallest of a component with other ids; an empty table
-gives an empty result; of extra columns none is read.
+copies of each other and keep that id, whatever their texts; a null doc_id is never the smallest of a component with
+other ids, and rows without an id are linked only to texts that some id has; an empty table gives an empty result; of
+extra columns none is read.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ BUCKETS = 1 << 18
 #: Signatures that agree on fewer values than this (of 128) are more than six standard deviations below the threshold.
 LEAST_AGREEING = 66
 PERCENT = 75
+#: Components take about log(n) rounds; not to end after so many is an error.
+MOST_ROUNDS = 60
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32)
@@ -180,7 +183,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     ("large star, small star"), which ends in stars after about log(n) rounds, whatever the shape of the links.
     """
     edges = scratch.table(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-e")
-    for i in range(60):
+    for i in range(MOST_ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: u's larger neighbours are tied to the smallest of u and its neighbours.
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -197,6 +200,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         edges = small
         if ended:
             break
+    else:
+        raise RuntimeError(f"components are not found after {MOST_ROUNDS} rounds")
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
 
 
@@ -353,7 +358,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = if_few(shared)
     sigs = scratch.table(sigs.join(wanted, "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
     sets = scratch.table(shingle_table(only(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi")), "sets")
-    now = sigs.select("doc_id", F.col("doc_id").alias("comp"))
+    now = sigs.select("doc_id", F.col("doc_id").alias("comp")).distinct()
     links: list[DataFrame] = []
     asked: list[DataFrame] = []
 
@@ -372,7 +377,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not links:
             return now
         reached = components(functools.reduce(DataFrame.unionByName, links), scratch, name)
-        return scratch.table(sigs.select("doc_id").join(reached, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")), f"{name}-now")
+        return scratch.table(sigs.select("doc_id").distinct().join(reached, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")), f"{name}-now")
 
     def again(members: DataFrame, name: str) -> DataFrame:
         """The regions with today's components, without those that have become one."""
@@ -405,7 +410,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the first of their component, with all their columns."""
+    """The documents that are the first of their component, with all their columns; rows without an id all stay."""
     gone = near_duplicates(docs, percent).filter("not kept").select("doc_id")
     own = unnamed(docs)
     return own.join(if_few(gone), F.col(f"_{docs.columns.index('doc_id')}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)

@@ -91,12 +91,22 @@ def test_copies_and_nulls_do_not_thin_out_what_is_learned_from(spark):
     try:
         langid.learn(docs, 100)
         assert len(kept["aa"]) == 10 and len(kept["bb"]) == len({t for d, t, lang in rows if lang == "bb" and t and zlib.crc32(str(d).encode()) % 4 != 2}) and 60 < len(kept["cc"]) < 140
+        langid.learn(docs, 100, sample_bytes=300)
+        assert len(kept["aa"]) == 1 and len(kept["cc"]) > 1 and all(sum(map(len, texts)) <= max(300, len(texts[0])) for texts in kept.values())
         langid.learn(docs, 0)
         assert {lang: len(texts) for lang, texts in kept.items()} == {"aa": 1, "bb": 1, "cc": 1}
     finally:
         langid.Trees = real
 
 
+def test_a_language_of_few_texts_in_many_rows_is_learned(spark):
+    rng = random.Random(7)
+    german, english = [sample(rng, "aa", 200) for _ in range(5)], [sample(rng, "bb", 200) for _ in range(500)]
+    rows = [(i, german[i % 5], "aa") for i in range(20_000)] + [(20_000 + i, t, "bb") for i, t in enumerate(english)]
+    trees = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert trees.languages == ["aa", "bb"]
+
+
 def test_undecided_texts_nulls_and_empty_tables(docs_of, odd, spark):
     rows = [*((i, t) for i, t in enumerate(odd)), (None, "many words"), (50, "12 34 !"), (51, "Ж"), (51, "Ж")]
     got = langid.language(docs_of(rows, extra=True)).collect()

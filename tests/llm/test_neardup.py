@@ -139,3 +139,22 @@ def test_components_of_long_chains(spark, n):
     got = {r["doc_id"]: r["comp"] for r in neardup.components(links, scratch, "t").collect()}
     assert got == {i: 0 for i in range(n)} | {200: 200, 201: 200}
     scratch.close()
+
+
+def test_rows_of_one_doc_id_with_different_texts(docs_of):
+    one, two = "a b c d e f g h i j k l m n o p q r s t", "z y x w v u t s r q p o n m l k j i h g"
+    rows = [(5, one), (5, two), (6, one + " u"), (7, two + " f"), (8, two), (9, "alone with five words here")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs_of(rows)).collect())
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 5), (9, 9)]
+
+
+def test_ten_thousand_forms_below_the_threshold_lose_no_pair_above_it(docs_of):
+    """Forms of similarity 0.725 to each other, and 200 pairs of 0.763 among them."""
+    rng = random.Random(1)
+    form = words(rng, 104)
+    own = [[f"w{i}x{k}" for k in range(19)] for i in range(10_000)]
+    rows = [(i, " ".join(form + w)) for i, w in enumerate(own)]
+    pairs = [(i, 1_000_000 + i) for i in range(0, 10_000, 50)]
+    rows += [(b, " ".join(form + own[a][:3] + [f"v{b}x{k}" for k in range(16)])) for a, b in pairs]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(rows).repartition(8)).collect()}
+    assert all(got[b] == a for a, b in pairs) and sum(d != c for d, c in got.items()) == len(pairs)
