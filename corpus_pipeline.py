@@ -6,12 +6,10 @@ Parquet to the shared folder and reads again as the next stage's docs. All but t
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from findlode.llm import contamination, neardup, packing, privacy, quality
-from findlode.llm.shared import read, shared_dir
+from findlode.llm.shared import Scratch, read
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +45,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    scratch = Scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:  # what a stage has read is not needed again
+            scratch.drop(before)
+        before = name
     return docs

@@ -65,7 +65,7 @@ class Engine:
 
     def _query(self, boxes: DataFrame) -> DataFrame:
         """The features in each query's rectangle. boxes: (query_id, doc_id, xl, xu, yl, yu), a null bound bounding nothing."""
-        rows = self._table("postings").join(F.broadcast(boxes), "doc_id")
+        rows = self._table("postings").join(boxes, "doc_id")
         for c in "xy":
             lo, hi = F.least(f"{c}l", f"{c}u"), F.greatest(f"{c}l", f"{c}u")
             rows = rows.filter((F.col(f"{c}l").isNull() | (F.col(c) >= F.when(F.col(f"{c}u").isNull(), F.col(f"{c}l")).otherwise(lo))) & (F.col(f"{c}u").isNull() | (F.col(c) <= F.when(F.col(f"{c}l").isNull(), F.col(f"{c}u")).otherwise(hi))))
@@ -79,7 +79,7 @@ class Engine:
         return rows.select("query_id", "q_feat", "word", vectors.signature(F.col("residual"), F.col("med")).alias("q_sig"), *[F.col(c).alias(f"q_{c}") for c in ("x", "y", "a", "b", "c")])
 
     def _pairs(self, query: DataFrame, first: DataFrame) -> DataFrame:
-        postings = self._table("postings").join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi")
+        postings = self._table("postings").join(first.select("doc_id").distinct(), "doc_id", "left_semi")
         weights = scoring.match_weights(query.select("query_id", "q_feat", "word", "q_sig"), postings, self._table("idf"), self.bits).join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
         chosen = scoring.putative(weights)
         places = query.select("query_id", "q_feat", *[f"q_{c}" for c in "xyabc"]).distinct()

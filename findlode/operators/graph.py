@@ -10,20 +10,26 @@ from findlode.functions.prefix import numbered
 from findlode.functions.session import checkpointed
 
 
+#: Components take about log(n) rounds; not to end after so many is an error.
+MOST_ROUNDS = 60
+#: Where the ranges of set sizes begin.
+SIZE_EDGES = (2, 3, 4, 5, 10, 20, 50, 100, 5000)
+
+
 def image_graph(scores: DataFrame, most: int, threshold: float) -> DataFrame:
     """(src, dst, score): of each document's best ``most``, itself left out, those that reach the threshold."""
     ranked = scores.filter("src != dst").withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.col("score").desc(), "dst")))
     return ranked.filter((F.col("rank") <= most) & (F.col("score") >= threshold)).drop("rank")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node of an edge reaches, edges taken both ways.
 
     Nodes hand the smallest neighbour on to their larger ones, then to their smaller ones, until only stars are left.
     """
     now = checkpointed(edges.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     alone = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -33,6 +39,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = small
         if done:
             break
+    else:
+        raise RuntimeError(f"components are not found after {MOST_ROUNDS} rounds")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
     return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("comp")))
 
@@ -87,7 +95,7 @@ def sizes(table: DataFrame) -> DataFrame:
     return table.groupBy("set_size").agg(F.count("*").alias("n"))
 
 
-def size_buckets(table: DataFrame, edges: tuple[int, ...] = (2, 3, 4, 5, 10, 20, 50, 100, 5000)) -> DataFrame:
+def size_buckets(table: DataFrame, edges: tuple[int, ...] = SIZE_EDGES) -> DataFrame:
     """(bucket, n): sets by half-open ranges of their size."""
     low = None
     for lo, hi in zip(edges, edges[1:], strict=False):
@@ -101,15 +109,16 @@ def sets_with(table: DataFrame, members: DataFrame) -> DataFrame:
     return table.join(inverse_sets(table).join(members, "member_id", "left_semi").select("set_id").distinct(), "set_id", "left_semi")
 
 
-def non_matches(ranked: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+def non_matches(scores: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
     """(query_id, result_count, max_score) of queries no result of which reaches the threshold.
 
-    ranked: (query_id, doc_id, score, rank), the query itself at the first place; the count is without it, the score
-    that of the second.
+    scores: (query_id, doc_id, score), the query itself among them; the count is without it, the score the second of all.
     """
-    own = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.max(F.when(F.col("doc_id") != F.col("query_id"), F.col("score"))).alias("best"))
+    first = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2)
+    two = scores.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))).filter("place <= 2").groupBy("query_id").agg(first.alias("first"))
+    own = scores.groupBy("query_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("doc_id") != F.col("query_id"), F.col("score"))).alias("best")).join(two, "query_id")
     rows = queries.join(own, "query_id", "left")
-    return rows.filter(F.col("best").isNull() | (F.col("best") < threshold)).select("query_id", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).cast("bigint").alias("result_count"), F.coalesce("second", F.lit(0.0)).alias("max_score"))
+    return rows.filter(F.col("best").isNull() | (F.col("best") < threshold)).select("query_id", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).cast("bigint").alias("result_count"), F.coalesce(F.get("first", F.lit(1)), F.lit(0.0)).alias("max_score"))
 
 
 def unfinished(queries: DataFrame, progress: DataFrame) -> DataFrame:

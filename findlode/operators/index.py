@@ -6,14 +6,19 @@ by document the forward one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from findlode.functions.session import file_states, shared_folder
 from findlode.functions.text import tokens
 
 #: Norms this small count as 1.
 TINY = 1e-7
+#: Where statistics have been written, by application and files.
+_KEPT: dict[tuple, str] = {}
 
 
 def text_postings(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -34,8 +39,11 @@ def posting_weight(columns: list[str]) -> Column:
 
 
 def idf(tf: DataFrame, n_docs: DataFrame | int, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(word, idf) = ln(documents / documents with the word); words of the vocabulary without any count as in one."""
-    df = tf.groupBy("word").agg(F.countDistinct("doc_id").alias("df"))
+    """(word, idf) = ln(documents / documents with the word); words of the vocabulary without any count as in one.
+
+    tf has one row per word and document.
+    """
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
     if vocabulary is not None:
         df = vocabulary.select("word").distinct().join(df, "word", "left")
     total = n_docs if isinstance(n_docs, int) else n_docs.select("doc_id").distinct().count()
@@ -81,13 +89,19 @@ def invert(postings: DataFrame) -> DataFrame:
 
 def inverse_lookup(postings: DataFrame, docs: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, word, n): postings of the given words in the given documents."""
-    chosen = postings.join(F.broadcast(words.select("word").distinct()), "word", "left_semi").join(F.broadcast(docs.select("doc_id").distinct()), "doc_id", "left_semi")
+    chosen = postings.join(words.select("word").distinct(), "word", "left_semi").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     return chosen.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 def candidates(postings: DataFrame, query: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """Postings of each query's words, optionally within (query_id, doc_id) allowed: document-at-a-time as a join."""
-    rows = query.select("query_id", "word").distinct().join(postings, "word")
+    """Postings of each query's words, optionally within (query_id, doc_id) allowed: document-at-a-time as a join.
+
+    Allowed documents without a query_id are so for every query, and thin out the postings before anything else.
+    """
+    rows = query.select("query_id", "word").distinct()
+    if allowed is not None and "query_id" not in allowed.columns:
+        return rows.join(postings.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi"), "word")
+    rows = rows.join(postings, "word")
     return rows.join(allowed, ["query_id", "doc_id"], "left_semi") if allowed is not None else rows
 
 
@@ -150,6 +164,23 @@ def written(postings: DataFrame, path: str, buckets: int = 64) -> None:
     postings.repartitionByRange(buckets, "word").sortWithinPartitions("word", "doc_id").write.mode("overwrite").parquet(path)
 
 
+def kept_statistics(docs: DataFrame, postings: DataFrame) -> str:
+    """The folder with the tables tf (by ranges of words), idf and norms of documents that are read from files.
+
+    It is written once per application and state of the files.
+    """
+    spark = docs.sparkSession
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.app.startTime", ""), *file_states(docs))
+    if key not in _KEPT:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        term_counts(postings).repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id").write.parquet(f"{folder}/tf")
+        tf = spark.read.parquet(f"{folder}/tf")
+        idf(tf, docs).write.parquet(f"{folder}/idf")
+        tfidf_norms(tf, spark.read.parquet(f"{folder}/idf")).write.parquet(f"{folder}/norms")
+        _KEPT[key] = folder
+    return _KEPT[key]
+
+
 def checked(features: DataFrame, docs: DataFrame) -> DataFrame:
     """(n_features, n_docs, n_empty): totals, and documents without features."""
     counts = docs.select("doc_id").join(features.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")

@@ -5,6 +5,7 @@ Every plan carries query_id, so a single query is a batch of one. Ties go to the
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,10 @@ from findlode.functions.session import checkpointed
 from findlode.operators.index import norm
 
 
+#: Queries whose dense lists are made at once.
+DENSE_QUERIES = 1000
+
+
 def top(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """Each query's k best documents with their rank from 1; 0 for all."""
     w = Window.partitionBy(by).orderBy(F.col("score").desc(), "doc_id")
@@ -23,8 +28,17 @@ def top(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def dense(scores: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """A score for every query and document, 0 where there is none."""
-    every = docs.select("doc_id").crossJoin(F.broadcast(queries.select("query_id").distinct()))
+    """A score for every query and document, 0 where there is none: as large as asked for, in the shape asked for.
+
+    Queries go to the documents in an array that is known to be short, or else in several passes.
+    """
+    ids = queries.select("query_id").distinct()
+    parts = max(1, -(-ids.count() // DENSE_QUERIES))
+    lists = [ids.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).agg(F.sort_array(F.collect_list("query_id")).alias("ids")).first()["ids"] for k in range(parts)]
+    each = [docs.select("doc_id", F.explode(F.array(*[F.lit(q).cast(ids.schema[0].dataType) for q in some])).alias("query_id")) for some in lists if some]
+    if not each:
+        return docs.select(F.lit(None).cast(ids.schema[0].dataType).alias("query_id"), "doc_id", F.lit(0.0).alias("score")).filter("false")
+    every = functools.reduce(DataFrame.unionByName, each)
     return every.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -37,7 +51,7 @@ def tfidf(query: DataFrame, tf: DataFrame, words: DataFrame, norms: DataFrame) -
     q = q.withColumn("qw", F.col("tf_q") * F.col("idf"))
     q_norm = q.groupBy("query_id").agg(norm(F.sum(F.pow("qw", 2))).alias("q_l2"))
     raw = tf.join(q, "word").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("idf") * F.col("tf")).alias("raw"))
-    return raw.join(norms, "doc_id").join(F.broadcast(q_norm), "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("q_l2") / F.col("l2")).alias("score"))
+    return raw.join(norms, "doc_id").join(q_norm, "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("q_l2") / F.col("l2")).alias("score"))
 
 
 def signature_distance(a: Column, b: Column) -> Column:
@@ -146,7 +160,7 @@ def pair_votes(features: DataFrame, bits: int = 64) -> DataFrame:
     return pairs.groupBy("group_id", "a", "b").agg(F.count("*").alias("n"))
 
 
-def without_outliers(features: DataFrame, bits: int = 64, least: int = 4, share: float = 0.25, rounds: int = 50) -> DataFrame:
+def without_outliers(features: DataFrame, bits: int = 64, least: int = 4, share: float = 0.25) -> DataFrame:
     """(group_id, query_id): queries that agree with others of their group.
 
     Two queries vote for each other with ``least`` pairs or more; a query votes for itself by its own pairs. Again and
@@ -157,7 +171,7 @@ def without_outliers(features: DataFrame, bits: int = 64, least: int = 4, share:
     all_of = checkpointed(features.select("group_id", "query_id").distinct())
     left = all_of
     n = left.count()
-    for _ in range(rounds):
+    while True:  # a round takes a query at least
         agreed = votes.join(left.withColumnRenamed("query_id", "a"), ["group_id", "a"], "left_semi").join(left.withColumnRenamed("query_id", "b"), ["group_id", "b"], "left_semi")
         left = checkpointed(agreed.groupBy("group_id", "a").agg(F.count("*").alias("n")).filter("n > 1").select("group_id", F.col("a").alias("query_id")))
         after = left.count()
@@ -169,12 +183,15 @@ def without_outliers(features: DataFrame, bits: int = 64, least: int = 4, share:
     return left.join(whole, "group_id", "left_anti").unionByName(all_of.join(whole, "group_id", "left_semi"))
 
 
-def distinct_objects(ranked: DataFrame, objects: DataFrame, k: int = 0) -> DataFrame:
-    """Each object's best document only, in the order of the ranking, numbered anew. objects: (doc_id, object_id)."""
-    rows = ranked.join(objects, "doc_id")
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "object_id").orderBy("rank"))).filter("place = 1").drop("place")
-    out = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    return out.filter(F.col("rank") <= k) if k else out
+def distinct_objects(scores: DataFrame, objects: DataFrame, k: int = 0) -> DataFrame:
+    """Each object's best document only, numbered in the order of scores. objects: (doc_id, object_id).
+
+    The best are found by partial sums in each task; what is ranked is a row per query and object.
+    """
+    place = F.struct("score", (-F.col("doc_id")).alias("turn"))
+    best = scores.join(objects, "doc_id").groupBy("query_id", "object_id").agg(F.max(place).alias("best"))
+    rows = best.select("query_id", (-F.col("best.turn")).alias("doc_id"), "object_id", "best.score")
+    return top(rows, k)
 
 
 def hard_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

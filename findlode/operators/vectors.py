@@ -37,13 +37,23 @@ def first_dimensions(values: Column, n: int) -> Column:
     return F.slice(values, 1, n)
 
 
+#: Centroids, and query vectors, that are taken to the tasks at once.
+BLOCK = 50_000
+#: Rows and queries of one matrix of distances.
+TILE = 1024
+#: Bits of a signature at most.
+SIGNATURE_BITS = 64
+
+
 def nearest_words(features: DataFrame, centroids: DataFrame, k: int = 1) -> DataFrame:
     """(feat_id, word, d2, place): each feature's k nearest centroids, exactly.
 
-    features: (feat_id, vec); centroids: (word, vec), a vocabulary that fits a task's memory; it is taken to the tasks
-    once and every batch is one matrix product. Larger vocabularies go through ``nearest_words_in_blocks``.
+    features: (feat_id, vec); centroids: (word, vec). A vocabulary of up to ``BLOCK`` words is taken to the tasks once and
+    every batch is one matrix product; a larger one goes in blocks.
     """
-    rows = centroids.orderBy("word").collect()
+    rows = centroids.orderBy("word").limit(BLOCK + 1).collect()
+    if len(rows) > BLOCK:
+        return nearest_words_in_blocks(features, centroids, k)
     words = np.array([r["word"] for r in rows], np.int64)
     matrix = np.array([r["vec"] for r in rows], np.float64)
     shared = features.sparkSession.sparkContext.broadcast((words, matrix, (matrix * matrix).sum(axis=1)))
@@ -67,7 +77,7 @@ def nearest_words(features: DataFrame, centroids: DataFrame, k: int = 1) -> Data
     return features.select("feat_id", "vec").mapInArrow(search, "feat_id bigint, word bigint, d2 double, place bigint")
 
 
-def nearest_words_in_blocks(features: DataFrame, centroids: DataFrame, k: int = 1, block: int = 50_000) -> DataFrame:
+def nearest_words_in_blocks(features: DataFrame, centroids: DataFrame, k: int = 1, block: int = BLOCK // 2) -> DataFrame:
     """As ``nearest_words``, with the vocabulary in blocks: the best of each block's best."""
     n = max(1, -(-centroids.count() // block))
     best = None
@@ -78,18 +88,92 @@ def nearest_words_in_blocks(features: DataFrame, centroids: DataFrame, k: int =
     return best.withColumn("place", F.row_number().over(w).cast("bigint")).filter(F.col("place") <= k)
 
 
-def ratio_matches(left: DataFrame, right: DataFrame, ratio2: float = 0.81) -> DataFrame:
+def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, words, vectors) of the queries, ``block`` or a little more at a time. queries: (feat_id, word, vec)."""
+    n = max(1, -(-queries.count() // block))
+    for k in range(n):
+        some = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("feat_id"), F.lit(n)) == k)
+        rows = some.select("feat_id", "word", "vec").orderBy("feat_id").collect()
+        if rows:
+            yield np.array([r[0] for r in rows], np.int64), np.array([r[1] if r[1] is not None else -1 for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], words: np.ndarray, vectors: np.ndarray, apart: bool) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(some queries, ids of some rows, squared distances between them); infinite within a word if ``apart``."""
+    squares = (vectors * vectors).sum(axis=1)
+    for batch in batches:
+        for lo in range(0, len(batch), TILE):
+            part = batch.slice(lo, TILE)
+            ids, own = part.column(0).to_numpy(zero_copy_only=False), part.column(1).fill_null(-2).to_numpy(zero_copy_only=False)
+            x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+            size = (x * x).sum(axis=1)
+            for at in range(0, len(words), TILE):
+                some = slice(at, at + TILE)
+                d2 = np.maximum(squares[some, None] - 2 * vectors[some] @ x.T + size, 0.0)
+                if apart:
+                    d2[words[some, None] == own] = np.inf
+                yield some, ids, d2
+
+
+def _sides(rows: DataFrame, apart: bool) -> DataFrame:
+    word = F.col("word").cast("bigint") if apart else F.lit(0).cast("bigint")
+    return rows.select(F.col("feat_id").cast("bigint").alias("feat_id"), word.alias("word"), "vec")
+
+
+def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, apart: bool = False, block: int = BLOCK) -> DataFrame:
+    """(a, b, d2, place): the k rows nearest to each query, ties to the smaller id; with ``apart`` of other words only.
+
+    Queries, which are the smaller side, go to the tasks in blocks; the rows stay where they are. A task reports its own k
+    for each query, and the best of these are the answer.
+    """
+    spark, best = rows.sparkSession, None
+    for found in _query_blocks(_sides(queries, apart), block):
+        shared = spark.sparkContext.broadcast(found)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            names, words, vectors = shared.value
+            near, which = np.full((len(names), k), np.inf), np.full((len(names), k), np.iinfo(np.int64).max)
+            for some, ids, d2 in _tiles(batches, words, vectors, apart):
+                at = np.flatnonzero((d2 <= near[some, -1:]).any(axis=1)) + some.start
+                if len(at):
+                    every = np.concatenate([near[at], d2[at - some.start]], axis=1)
+                    owner = np.concatenate([which[at], np.broadcast_to(ids, (len(at), len(ids)))], axis=1)
+                    turn = np.lexsort((owner, every), axis=1)[:, :k]
+                    near[at], which[at] = np.take_along_axis(every, turn, axis=1), np.take_along_axis(owner, turn, axis=1)
+            a, place = np.nonzero(np.isfinite(near))
+            yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(which[a, place]), pa.array(near[a, place])], names=["a", "b", "d2"])
+
+        part = _sides(rows, apart).mapInArrow(search, "a bigint, b bigint, d2 double")
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        best = spark.createDataFrame([], "a bigint, b bigint, d2 double")
+    place = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b")).cast("bigint")
+    return best.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def ratio_matches(left: DataFrame, right: DataFrame, ratio2: float = 0.81, apart: bool = False) -> DataFrame:
     """(a, b, d2): each left feature's nearest right one, where it is clearly nearer than the second: d1**2 / d2**2 < ratio2."""
-    near = nearest_words(left.select(F.col("feat_id"), "vec"), right.select(F.col("feat_id").alias("word"), "vec"), 2)
-    rows = near.groupBy("feat_id").agg(F.min_by("word", "place").alias("b"), F.min("d2").alias("d2"), F.max(F.when(F.col("place") == 2, F.col("d2"))).alias("second"))
-    return rows.filter((F.col("second") > 0) & (F.col("d2") / F.col("second") < ratio2)).select(F.col("feat_id").alias("a"), "b", "d2")
+    near = nearest_rows(left, right, 2, apart)
+    rows = near.groupBy("a").agg(F.min_by("b", "place").alias("b"), F.min("d2").alias("d2"), F.max(F.when(F.col("place") == 2, F.col("d2"))).alias("second"))
+    return rows.filter((F.col("second") > 0) & (F.col("d2") / F.col("second") < ratio2)).select("a", "b", "d2")
+
+
+def close_pairs(left: DataFrame, right: DataFrame, epsilon: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, d2) of all pairs nearer than epsilon; the right side is the stated query set and goes to the tasks in blocks."""
+    out = None
+    for found in _query_blocks(_sides(right, False), block):
+        shared = left.sparkSession.sparkContext.broadcast(found)
 
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            names, words, vectors = shared.value
+            for some, ids, d2 in _tiles(batches, words, vectors, False):
+                b, a = np.nonzero(d2 < epsilon * epsilon)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(names[some][b]), pa.array(d2[b, a])], names=["a", "b", "d2"])
 
-def close_pairs(left: DataFrame, right: DataFrame, epsilon: float) -> DataFrame:
-    """(a, b, d2) of all pairs nearer than epsilon; the right side is the stated query set and is broadcast."""
-    a = left.select(F.col("feat_id").alias("a"), F.col("vec").alias("va"))
-    b = right.select(F.col("feat_id").alias("b"), F.col("vec").alias("vb"))
-    return a.join(F.broadcast(b)).withColumn("d2", squared_distance(F.col("va"), F.col("vb"))).filter(F.col("d2") < epsilon * epsilon).select("a", "b", "d2")
+        part = _sides(left, False).mapInArrow(search, "a bigint, b bigint, d2 double")
+        out = part if out is None else out.unionByName(part)
+    return left.sparkSession.createDataFrame([], "a bigint, b bigint, d2 double") if out is None else out
 
 
 def residuals(features: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -115,7 +199,15 @@ def median_vectors(table: DataFrame) -> DataFrame:
 
 
 def signature(values: Column, med: Column) -> Column:
-    """A bit per dimension, 1 where the value is above the median; the first dimension is the highest bit."""
+    """A bit per dimension, 1 where the value is above the median; the first dimension is the highest bit.
+
+    More than ``SIGNATURE_BITS`` dimensions are an error: they are to be projected first.
+    """
+    few = F.assert_true(F.coalesce(F.size(values), F.lit(0)) <= SIGNATURE_BITS, F.lit("a signature has 64 bits at most: project the vectors first"))
+    return F.when(few.isNull(), _bits(values, med))
+
+
+def _bits(values: Column, med: Column) -> Column:
     return F.aggregate(F.zip_with(values, med, lambda v, m: (v > m).cast("bigint")), F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
 
 

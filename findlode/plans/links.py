@@ -31,10 +31,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document whose number divides by 100 as a query against all: (query_id, doc_id, score, rank)."""
+    """Every document whose number divides by 100 as a query against all: (query_id, doc_id, score)."""
     c = Corpus(spark, sf_dir)
     rows = c.postings.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "word")
-    return scoring.top(c.scores(rows), 0)
+    return c.scores(rows)
 
 
 @query(f"{SELF}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM scores WHERE query_id <> doc_id) SELECT query_id AS src, doc_id AS dst, score FROM r WHERE k <= 10 AND score >= 0.05")

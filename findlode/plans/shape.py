@@ -98,7 +98,7 @@ def _passages(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
     first = c.ranked(DEPTH)
     wide = lambda side, pos, word: [F.col(pos).cast("double").alias(f"{side}x"), (F.length(word) * 10).cast("double").alias(f"{side}y"), F.lit(1.0).alias(f"{side}a"), F.lit(0.0).alias(f"{side}b"), F.lit(1.0).alias(f"{side}c")]
     q = item_postings(spark, sf_dir).select("query_id", "word", F.col("pos").cast("bigint").alias("q_feat"), *wide("q_", "pos", "word"))
-    d = index.text_postings(c.docs).join(F.broadcast(first.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "word", F.col("pos").cast("bigint").alias("feat_id"), *wide("", "pos", "word"))
+    d = index.text_postings(c.docs).join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "word", F.col("pos").cast("bigint").alias("feat_id"), *wide("", "pos", "word"))
     pairs = q.join(first.select("query_id", "doc_id"), "query_id").join(d, ["doc_id", "word"]).withColumn("w", F.lit(1.0))
     return first, pairs
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlode.functions.session import checkpointed
 from findlode.operators import evaluate, index, scoring
 from findlode.plans.registry import query, read
 
@@ -31,15 +30,15 @@ RANKED = "ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITIO
 class Corpus:
     """The index of a table of documents and its statistics.
 
-    Term counts are kept, as an index would keep them: idf, norms and scores all read them, and texts are read once.
+    Term counts, idf and norms are tables in the shared folder, written by the first query that asks for them and read by
+    all later ones of the application, as long as the documents' files are the same.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.docs = read(spark, sf_dir, "documents")
         self.postings = index.text_postings(self.docs)
-        self.tf = checkpointed(index.term_counts(self.postings))
-        self.idf = index.idf(self.tf, self.docs)
-        self.norms = index.tfidf_norms(self.tf, self.idf)
+        folder = index.kept_statistics(self.docs, self.postings)
+        self.tf, self.idf, self.norms = (spark.read.parquet(f"{folder}/{name}") for name in ("tf", "idf", "norms"))
         self.items = item_postings(spark, sf_dir)
 
     def scores(self, rows: DataFrame) -> DataFrame:
@@ -124,7 +123,7 @@ def inverse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of each item's words, per candidate document."""
     items = item_postings(spark, sf_dir)
-    allowed = read(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").crossJoin(F.broadcast(items.select("query_id").distinct()))
+    allowed = read(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
     rows = index.candidates(index.text_postings(read(spark, sf_dir, "documents")), items, allowed)
     return rows.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("word").alias("n_words"))
 
@@ -243,7 +242,7 @@ SELECT * FROM (SELECT query_id, doc_id, source AS object_id, row_number() OVER (
 def distinct_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document of each source."""
     c = Corpus(spark, sf_dir)
-    rows = scoring.distinct_objects(c.ranked(), c.docs.select("doc_id", F.col("source").alias("object_id")), 5)
+    rows = scoring.distinct_objects(c.scores(c.items), c.docs.select("doc_id", F.col("source").alias("object_id")), 5)
     return rows.select("query_id", "doc_id", "object_id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -255,13 +254,12 @@ wanted AS (SELECT query_id, (SELECT count(*) FROM rel WHERE pos) AS n FROM (SELE
 ap AS (SELECT query_id, coalesce(sum(found / place) FILTER (pos), 0) / any_value(n) AS ap FROM wanted LEFT JOIN cumul USING (query_id) GROUP BY query_id)"""
 
 
-def _judgement(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first 200 of every item, and labels as its truth: good ones are positives, toxic ones ignored."""
+def _judgement(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first 200 of every item, labels as the truth of all (good ones are positives, toxic ones ignored), and the queries."""
     c = Corpus(spark, sf_dir)
     labels = read(spark, sf_dir, "labels")
     kinds = labels.select("doc_id", F.when(F.col("toxic") == 1, "ign").when(F.col("quality") == 1, "pos").alias("kind")).filter("kind is not null")
-    truth = kinds.crossJoin(F.broadcast(c.items.select("query_id").distinct()))
-    return c.ranked(200), truth
+    return c.ranked(200), kinds, c.items.select("query_id")
 
 
 @query(f"WITH {TRUTH} SELECT query_id, round(ap, 6) AS ap FROM ap")
@@ -276,7 +274,8 @@ def mean_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TRUTH}, f AS (SELECT query_id, min(place) AS first FROM judged WHERE pos GROUP BY query_id) SELECT n, round(avg(coalesce((first <= n)::INT::DOUBLE, 0)), 6) AS recall FROM (SELECT DISTINCT query_id FROM items) q LEFT JOIN f USING (query_id), (SELECT unnest(range(1, 21))::INTEGER AS n) r GROUP BY n")
 def recall_at_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.recall_at(*_judgement(spark, sf_dir), 20).select(F.col("at").alias("n"), F.round("recall", 6).alias("recall"))
+    ranking, truth, items = _judgement(spark, sf_dir)
+    return evaluate.recall_at(ranking, truth, 20, items).select(F.col("at").alias("n"), F.round("recall", 6).alias("recall"))
 
 
 @query(f"""WITH {STATISTICS}, {ITEMS}, wn AS (SELECT doc_id, CASE WHEN sum(idf * idf) <= 1e-7 THEN 1.0 ELSE sqrt(sum(idf * idf)) END AS l2 FROM postings JOIN idf USING (word) GROUP BY doc_id),

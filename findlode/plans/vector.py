@@ -26,7 +26,7 @@ def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with 64-bit signatures against their word's medians."""
     rows = features(spark, sf_dir)
     med = vx.median_vectors(vx.medians(rows.withColumn("residual", F.transform("vec", lambda x: x.cast("double")))))
-    return rows.join(F.broadcast(med), "word").withColumn("sig", vx.signature(F.transform("vec", lambda x: x.cast("double")), F.col("med"))).drop("med")
+    return rows.join(med, "word").withColumn("sig", vx.signature(F.transform("vec", lambda x: x.cast("double")), F.col("med"))).drop("med")
 
 
 def queries_of(rows: DataFrame) -> DataFrame:
@@ -133,12 +133,7 @@ SELECT a, first(b ORDER BY d2, b) AS b, round(min(d2), 6) AS d2 FROM (SELECT *,
 def ratio_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors whose number divides by 100 against those of other labels, by a wide ratio."""
     rows = features(spark, sf_dir)
-    left = rows.filter("feat_id % 100 = 0")
-    out = None
-    for r in left.select("word").distinct().collect():
-        one = vx.ratio_matches(left.filter(F.col("word") == r["word"]), rows.filter(F.col("word") != r["word"]), 0.95)
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("d2", F.round("d2", 6))
+    return vx.ratio_matches(rows.filter("feat_id % 100 = 0"), rows, 0.95, apart=True).withColumn("d2", F.round("d2", 6))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round((SELECT sum((x - y) * (x - y)) FROM (SELECT unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y) t), 5) AS d2 FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND d2 < 1.0""")

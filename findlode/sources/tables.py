@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findlode.operators.graph import SIZE_EDGES
+
 
 def file_list(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, filename): a line's number among those that aren't blank is its file's id.
@@ -51,7 +53,7 @@ def exported_csv(sets: DataFrame, path: str) -> None:
     sets.write.mode("overwrite").option("header", "true").option("quoteAll", "true").csv(path)
 
 
-def exported_json(sets: DataFrame, path: str, edges: tuple[int, ...] = (2, 3, 4, 5, 10, 20, 50, 100, 5000)) -> None:
+def exported_json(sets: DataFrame, path: str, edges: tuple[int, ...] = SIZE_EDGES) -> None:
     """Sets as JSON, a folder per range of sizes."""
     bucket = None
     for lo, hi in zip(edges, edges[1:], strict=False):

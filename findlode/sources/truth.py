@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from findlode.functions.prefix import numbered
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -17,7 +18,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(names: DataFrame, column: str) -> DataFrame:
-    return names.select(column).distinct().withColumn("query_id", (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint"))
+    return numbered(names.select(column).distinct(), [column], "query_id")
 
 
 def buildings(spark: SparkSession, folder: str, prefix: str = "oxc1_") -> tuple[DataFrame, DataFrame]:
@@ -30,7 +31,7 @@ def buildings(spark: SparkSession, folder: str, prefix: str = "oxc1_") -> tuple[
     heads = parts.filter("role = 'query'")
     numbers = _numbered(heads, "query_name")
     image = F.get("w", F.lit(0))
-    bare = F.when(F.startswith(image, F.lit(prefix)), F.substring(image, len(prefix) + 1, 10_000)).otherwise(image) if prefix else image
+    bare = F.when(F.startswith(image, F.lit(prefix)), F.substring(image, F.lit(len(prefix) + 1), F.length(image))).otherwise(image) if prefix else image
     queries = heads.join(numbers, "query_name").select("query_id", "query_name", F.concat(bare, F.lit(".jpg")).alias("filename"), *[F.get("w", F.lit(i + 1)).cast("double").alias(c) for i, c in enumerate(("xl", "yl", "xu", "yu"))])
     truth = parts.filter("role != 'query'").join(numbers, "query_name").select("query_id", F.concat(F.get("w", F.lit(0)), F.lit(".jpg")).alias("filename"), F.when(F.col("role") == "junk", "ign").otherwise("pos").alias("kind"))
     return queries, truth
@@ -50,7 +51,7 @@ def holidays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def landmarks(spark: SparkSession, path: str, docs: DataFrame, token: int = 7) -> DataFrame:
     """(query_id, doc_id, kind): lines of a query and its object ids; an object's documents carry its id in their name. x... is no id."""
     words = _lines(spark, path).select(F.split("line", " ").alias("w"))
-    wanted = words.select(F.get("w", F.lit(0)).cast("bigint").alias("query_id"), F.explode(F.slice("w", 2, 1_000_000)).alias("name")).filter("name not like 'x%' and name != ''")
+    wanted = words.select(F.get("w", F.lit(0)).cast("bigint").alias("query_id"), F.explode(F.slice("w", F.lit(2), F.size("w"))).alias("name")).filter("name not like 'x%' and name != ''")
     name = F.get(F.split(F.regexp_extract("filename", r"(PCI_sp_.*)$", 1), "_"), F.lit(token))
     return wanted.select("query_id", F.col("name").cast("bigint").alias("object")).join(docs.select("doc_id", name.cast("bigint").alias("object")), "object").select("query_id", "doc_id", F.lit("pos").alias("kind")).distinct()
 
