@@ -7,8 +7,8 @@ ones, an instance as far as trusted patterns surround it, and trusted instances
 
 Instances in the graph are seeds, tokens of four or more characters with two digits or more, and runs of numbers with
 brackets, hyphens and spaces between them. Names, handles and spelled-out addresses have no such shape. They are looked
-for in a second pass, under the patterns that the graph ends up trusting and nowhere else: all words that such a pattern
-surrounds are counted against it, and where it still is trusted, and more strictly, they are found too. What trusted
+for in a second pass, under the patterns that the graph ends up trusting and nowhere else: the distinct words that such a
+pattern surrounds are counted against it, and where it still is trusted, and more strictly, they are found too. What trusted
 patterns surround and no fixed pattern covers are the method's own spans, of kind ``context``.
 
 Cases: a null text counts as empty; an empty text has no spans and the hash of the empty string; repeated rows each get
@@ -19,11 +19,13 @@ columns are not read, and ``redact`` passes them on.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ MIN_TRUST = 0.8
 MIN_TRUST_ANY = 0.95
 ROUNDS = 3
 #: Places of the filter that says which pairs of words may be trusted patterns; those that pass are then joined exactly.
-FILTER = 1 << 22
+FILTER = 1 << 20
 
 #: The contract's patterns, written so that no text makes them backtrack more than linearly.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -169,6 +171,23 @@ def _patterns(first: np.ndarray, second: np.ndarray, side: np.ndarray | int) ->
     return ts.mix(first * _FIRST + second * _SECOND + np.asarray(side, np.uint64) * _SIDE).view(np.int64)
 
 
+class _Spans:
+    """Spans of a text, asked one by one in constant or logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.spans = sorted(spans)
+        self.starts = [a for a, _ in self.spans]
+        self.reach = list(itertools.accumulate((b for _, b in self.spans), max))
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.starts, b)
+        return k > 0 and self.reach[k - 1] > a
+
+    def around(self, a: int, b: int) -> tuple[int, int] | None:
+        k = bisect.bisect_right(self.starts, a) - 1
+        return self.spans[k] if k >= 0 and self.spans[k][1] >= b else None
+
+
 Mark = tuple[int, int, int, tuple[str, str], str, bool]
 
 
@@ -220,18 +239,23 @@ def scan(docs: DataFrame) -> DataFrame:
 OTHERS = "doc_id bigint, hash bigint, s int, e int, pattern bigint, instance bigint"
 
 
-def others(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+def others(docs: DataFrame, patterns: DataFrame, min_trust: float = MIN_TRUST) -> DataFrame:
     """(doc_id, hash, s, e, pattern, instance): the words of any other shape that the patterns surround. One pass.
 
-    A filter of fixed size goes to the tasks, and what passes it is joined with the patterns themselves.
+    A pattern stays trusted only while no more distinct words turn up than its known instances have room for. A task that
+    has seen more knows that the pattern is lost, and says no more of it: what it has said by then is proof enough.
+    Patterns that stay trusted are reported whole. A filter of fixed size goes to the tasks, and what passes it is joined
+    with the patterns themselves.
     """
-    places = patterns.select(F.pmod("pattern", F.lit(FILTER)).cast("int").alias("place")).distinct().toArrow().column("place").to_numpy()
-    passed = np.zeros(FILTER, bool)
-    passed[places] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(passed))
+    rooms = patterns.select(F.pmod("pattern", F.lit(FILTER)).cast("int").alias("place"), F.floor(F.col("known") / min_trust - F.col("n") + 1).cast("int").alias("room")).groupBy("place").agg(F.max("room").alias("room")).toArrow()
+    room_of = np.full(FILTER, -1, np.int32)
+    room_of[rooms.column("place").to_numpy()] = rooms.column("room").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(room_of)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = np.unpackbits(shared.value).astype(bool)
+        room_of = shared.value
+        seen: dict[int, set[int]] = {}
+        lost = np.empty(0, np.int64)
         for batch in batches:
             for lo, hi in ts.pieces(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
@@ -244,24 +268,35 @@ def others(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                     at = at[owner[at + x] == owner[at + y]]
                     at = at[owner[at] == owner[at + y]]
                     pattern = _patterns(hashes[at + x], hashes[at + y], side)
-                    some = allowed[pattern % FILTER]
+                    some = room_of[pattern % FILTER] >= 0
+                    some[some] = ~np.isin(pattern[some], lost)
                     hits += zip(at[some].tolist(), pattern[some].tolist(), strict=True)
-                rows, done = [], {}
+                rows, done, full = [], {}, set()
                 for i, pattern in sorted(hits):
+                    if pattern in full:
+                        continue
                     k = int(owner[i])
                     if k not in done:
-                        done[k] = (text := part.column(1)[k].as_py()), (spans := base_spans(text)), list(_identifiers(text, spans)), [m.span() for m in _SPELLED.finditer(text)]
-                    text, spans, taken, spelled = done[k]
-                    begin = len(buf[offsets[k] : starts[i]].tobytes().decode())
-                    a, b = begin, begin + len(buf[starts[i] : ends[i]].tobytes().decode())
-                    a, b = _trimmed(text, a, b)
-                    a, b = next(((x, y) for x, y in spelled if x <= a and b <= y), (a, b))
-                    if a < b and not any(x < b and a < y for x, y, *_ in (*spans, *taken)):
-                        rows.append((k, a, b, pattern, text[a:b]))
+                        text = part.column(1)[k].as_py()
+                        spans = base_spans(text)
+                        done[k] = [text, _Spans([(a, b) for a, b, _ in spans] + list(_identifiers(text, spans))), _Spans([m.span() for m in _SPELLED.finditer(text)]), int(offsets[k]), 0]
+                    text, covered, spelled, at, chars = done[k]
+                    a = chars + len(buf[at : starts[i]].tobytes().decode())
+                    done[k][3:] = int(starts[i]), a
+                    a, b = _trimmed(text, a, a + len(buf[starts[i] : ends[i]].tobytes().decode()))
+                    a, b = spelled.around(a, b) or (a, b)
+                    if a < b and not covered.meets(a, b):
+                        rows.append((k, a, b, pattern, instance := xxhash.xxh64_intdigest(text[a:b].encode()) - (1 << 63)))
+                        words = seen.setdefault(pattern, set())
+                        words.add(instance)
+                        if len(words) > room_of[pattern % FILTER]:
+                            full.add(pattern)
+                            del seen[pattern]
+                lost = np.concatenate([lost, np.array(sorted(full), np.int64)])
                 if rows:
                     k, a, b, pattern, words = (list(x) for x in zip(*rows, strict=True))
                     own = part.take(pa.array(k))
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(pattern, pa.int64()), pa.array(_hashed(words, lower=False).view(np.int64))], names=[f.split()[0] for f in OTHERS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(pattern, pa.int64()), pa.array(words, pa.int64())], names=[f.split()[0] for f in OTHERS.split(", ")])
 
     return _rows(docs).filter("text is not null").mapInArrow(find, OTHERS).join(if_few(patterns.select("pattern")), "pattern", "left_semi").select(*[f.split()[0] for f in OTHERS.split(", ")])
 
@@ -296,7 +331,7 @@ def trusted_patterns(found: DataFrame, scratch: Scratch, min_known: int = MIN_KN
 def added_spans(docs: DataFrame, found: DataFrame, scratch: Scratch, min_known: int, min_trust: float, rounds: int) -> DataFrame:
     """(doc_id, hash, added): what trusted patterns surround and no fixed pattern covers."""
     patterns = trusted_patterns(found, scratch, min_known, min_trust, rounds)
-    rest = scratch.table(others(docs, patterns), "others")
+    rest = scratch.table(others(docs, patterns, min_trust), "others")
     # All that a pattern surrounds counts against it now.
     more = rest.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("more"))
     share = F.col("known") / (F.col("n") + F.coalesce("more", F.lit(0)))
