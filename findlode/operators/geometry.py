@@ -185,6 +185,35 @@ def _inliers(h: np.ndarray, e1: np.ndarray, e2: np.ndarray, ids1: np.ndarray, id
     return np.array(out, np.int64)
 
 
+def _may_fit(chosen: np.ndarray, e1: np.ndarray, e2: np.ndarray, error: float, area: float) -> np.ndarray:
+    """For each chosen pair as a hypothesis the pairs that may be its inliers, all of them and hardly any others.
+
+    Features that are used twice aren't sorted out, and thresholds are a trifle wide, so ``_inliers`` finds no more.
+    """
+    x1, y1, a1, b1, c1 = e1[chosen].T
+    x2, y2, a2, b2, c2 = e2[chosen].T
+    r1, r2 = np.sqrt(c1), np.sqrt(c2)
+    q1, q2 = b1 / r1, b2 / r2
+    h0 = np.sqrt(np.maximum(a1 - q1 * q1, 1e-30)) / np.sqrt(np.maximum(a2 - q2 * q2, 1e-30))
+    h4 = r1 / r2
+    h3 = (q1 - q2 * h0) / r2
+    tx, ty = x2 - h0 * x1, y2 - h3 * x1 - h4 * y1
+    col = lambda v: v[:, None]
+    wide = error * error * (1 + 1e-6)
+    there = (col(h0) * e1[:, 0] + col(tx) - e2[:, 0]) ** 2 + (col(h3) * e1[:, 0] + col(h4) * e1[:, 1] + col(ty) - e2[:, 1]) ** 2
+    with np.errstate(all="ignore"):
+        back = (e2[:, 0] - col(tx)) / col(h0)
+        home = (back - e1[:, 0]) ** 2 + ((e2[:, 1] - col(ty) - col(h3) * back) / col(h4) - e1[:, 1]) ** 2
+        d1, d2 = (e[:, 2] * e[:, 4] - e[:, 3] ** 2 for e in (e1, e2))
+        change = d1 / np.maximum(d2, 1e-300) / col((h0 * h4) ** 2)
+        change = np.maximum(change, 1 / np.maximum(change, 1e-300))
+        return (there < wide) & (home < wide) & (change < area * area * (1 + 1e-6))
+
+
+#: Entries of a table of hypotheses and pairs.
+TABLE = 1 << 18
+
+
 def fit_transform(e1: np.ndarray, e2: np.ndarray, ids1: np.ndarray, ids2: np.ndarray, weights: np.ndarray, error: float = 40.0, area: float = 31.63, seed: int = 43) -> tuple[float, np.ndarray, np.ndarray]:
     """(score, transform, inliers) of the best affine transform; each pair is a hypothesis, tried in a seeded order.
 
@@ -196,9 +225,15 @@ def fit_transform(e1: np.ndarray, e2: np.ndarray, ids1: np.ndarray, ids2: np.nda
     if n < 3:
         return best, best_h, best_in
     stop = n
-    for tried, k in enumerate(np.random.default_rng(seed).permutation(n)):
+    turn, step, may = np.random.default_rng(seed).permutation(n), max(1, TABLE // n), None
+    for tried, k in enumerate(turn):
         if tried >= stop:
             break
+        if tried % step == 0:
+            may = _may_fit(turn[tried : tried + step], e1, e2, error, area)
+            most, many = may @ weights, may.sum(axis=1)
+        if many[tried % step] <= 3 or most[tried % step] <= best:  # its inliers are too few, whichever they are
+            continue
         h = _ellipse_map(e1[k], e2[k])
         found = _inliers(h, e1, e2, ids1, ids2, error, area)
         score = float(weights[found].sum())
