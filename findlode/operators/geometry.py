@@ -210,6 +210,14 @@ def _may_fit(chosen: np.ndarray, e1: np.ndarray, e2: np.ndarray, error: float, a
         return (there < wide) & (home < wide) & (change < area * area * (1 + 1e-6))
 
 
+def _most(may: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many features the pairs of each row have at most, and how much they weigh, each feature counting once."""
+    turn = np.argsort(ids, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(ids[turn]) != 0])
+    best = np.maximum.reduceat(np.where(may[:, turn], weights[turn], 0.0), begin, axis=1)
+    return np.logical_or.reduceat(may[:, turn], begin, axis=1).sum(axis=1), best.sum(axis=1) * (1 + 1e-9)
+
+
 #: Entries of a table of hypotheses and pairs.
 TABLE = 1 << 18
 
@@ -231,7 +239,8 @@ def fit_transform(e1: np.ndarray, e2: np.ndarray, ids1: np.ndarray, ids2: np.nda
             break
         if tried % step == 0:
             may = _may_fit(turn[tried : tried + step], e1, e2, error, area)
-            most, many = may @ weights, may.sum(axis=1)
+            (n1, w1), (n2, w2) = _most(may, ids1, weights), _most(may, ids2, weights)
+            many, most = np.minimum(n1, n2), np.minimum(w1, w2)
         if many[tried % step] <= 3 or most[tried % step] <= best:  # its inliers are too few, whichever they are
             continue
         h = _ellipse_map(e1[k], e2[k])
@@ -271,7 +280,9 @@ def verified(pairs: DataFrame, error: float = 40.0) -> DataFrame:
         chosen = [{"q_feat": int(rows["q_feat"].iloc[k]), "feat_id": int(rows["feat_id"].iloc[k])} for k in inside]
         return pd.DataFrame([(key[0], key[1], score, len(inside), h.ravel().tolist(), chosen)], columns=["query_id", "doc_id", "spatial", "inliers", "h", "pairs"])
 
-    return pairs.groupBy("query_id", "doc_id").applyInPandas(run, VERIFIED)
+    # The work is large beside the bytes, so tasks are as many as were asked for and not merged by size.
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "query_id", "doc_id").groupBy("query_id", "doc_id").applyInPandas(run, VERIFIED)
 
 
 def reranked(first: DataFrame, pairs: DataFrame, depth: int = 200, least: int = 4, keep_unverified: bool = False) -> DataFrame:
