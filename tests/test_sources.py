@@ -2,9 +2,11 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from findlode.engine import Engine
-from findlode.operators import index
+from findlode.operators import index, vectors
 from findlode.sources import features, images, tables, truth
 from findlode.streaming import feeds
 
@@ -111,8 +113,45 @@ def test_an_index_from_features_finds_what_was_moved(spark, tmp_path):
     again = engine.search_features(engine.represented(outside, 1), 6, spatial=False).collect()
     assert {r["doc_id"]: round(r["score"], 6) for r in again} == {r["doc_id"]: round(r["score"], 6) for r in plain}
     assert [r["file_id"] for r in engine.filelist(start=2, end=4).collect()] == [2, 3]
-    groups = engine.visual_groups(files.select("file_id"), 5, 1.0)
+    # The first run knows fewer files; the second asks those that are new and nothing else.
+    engine.visual_groups(files.filter("file_id >= 2").select("file_id"), 5, 1.0, batch=2)
+    groups = engine.visual_groups(files.select("file_id"), 5, 1.0, batch=4)
     assert any({0, 1} <= set(r["members"]) for r in groups.collect())
+    done = spark.read.parquet(f"file://{tmp_path}/index/vgroup_files").filter("doc_id is null")
+    assert sorted(r["query_id"] for r in done.collect()) == [0, 1, 2, 3, 4, 5]
+    assert not {0, 1} & {r["query_id"] for r in engine.unmatched(files.select("file_id"), 5, 1.0).collect()}
+    assert engine.sets_page(groups).count() == groups.count() and engine.sets_with(groups, 1).count() == 1
+    regions = spark.createDataFrame([(7, 0, 0.0, 0.0, 300.0, 300.0)], "region_id bigint, file_id bigint, x double, y double, w double, h double")
+    sets, every = engine.visual_region_groups(regions, 5, 1.0)
+    moved = every.filter("region_id != 7 and file_id = 1").first()
+    assert abs(moved["x"] - 25) < 4 and abs(moved["y"] + 10) < 4
+    assert any({7, moved["region_id"]} <= set(r["members"]) for r in sets.collect())
+    one = engine.register(table.filter("doc_id = 0"), table.filter("doc_id = 1"), (0.0, 300.0, 0.0, 300.0)).first()
+    assert one["inliers"] == 40 and abs(one["h"][2] - 25) < 1 and abs(one["h"][5] + 10) < 1
+
+
+def test_a_signature_takes_no_more_than_64_dimensions(spark):
+    rows = spark.createDataFrame([([1.0] * 65, [0.0] * 65)], "v array<double>, m array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        rows.select(vectors.signature(F.col("v"), F.col("m"))).collect()
+
+
+def test_nearest_rows_in_blocks_are_those_of_a_plain_search(spark):
+    rng = np.random.default_rng(9)
+    data = rng.standard_normal((300, 8))
+    data[200:220] = data[0]
+    rows = spark.createDataFrame([(i, i % 3, [float(x) for x in v]) for i, v in enumerate(data)], "feat_id bigint, word bigint, vec array<double>").repartition(5)
+    some = rows.filter("feat_id % 10 = 0")
+    for apart in (False, True):
+        got = {}
+        for r in vectors.nearest_rows(some, rows, 3, apart, block=7).collect():
+            got.setdefault(r["a"], []).append((r["place"], r["b"]))
+        for a in range(0, 300, 10):
+            d2 = ((data - data[a]) ** 2).sum(axis=1)
+            order = [b for b in np.lexsort((np.arange(300), np.round(d2, 9))).tolist() if not apart or b % 3 != a % 3][:3]
+            assert [b for _, b in sorted(got[a])] == order
+    close = {(r["a"], r["b"]) for r in vectors.close_pairs(rows, some, 1.5, block=7).collect()}
+    assert close == {(a, b) for b in range(0, 300, 10) for a in range(300) if ((data[a] - data[b]) ** 2).sum() < 2.25}
 
 
 def test_streamed_queries_are_answered_as_in_a_batch(spark, tmp_path):
