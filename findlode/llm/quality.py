@@ -12,7 +12,6 @@ an empty result; of extra columns none is read; repeated rows each get their row
 
 from __future__ import annotations
 
-import itertools
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,15 +19,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from findlode.llm import textscan as ts
 from findlode.llm.shared import only, unnamed
+from findlode.llm.tokens import release
 
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
-#: The rules are timed on so many rows from the head of each of so many input splits, which lie evenly over all.
-SAMPLE_ROWS = 64
-SAMPLE_SPLITS = 8
+#: The rules are timed on so many texts, of no more bytes than this each.
+SAMPLE_ROWS = 512
+SAMPLE_BYTES = 1 << 18
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -183,22 +184,16 @@ def measured(column: pa.Array, rules: tuple[Rule, ...]) -> dict[str, tuple[float
     return found
 
 
-def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, sample_rows: int = SAMPLE_ROWS, splits: int = SAMPLE_SPLITS) -> tuple[Rule, ...]:
-    """The rules by rejections per second, as measured on the first rows of some input splits.
+def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = BASE + RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    """The rules by rejections per second, as measured on a sample of a bounded number of bytes.
 
-    Other splits aren't read. A task returns a few numbers per rule.
+    Spark takes the sample from the first input splits that yield it and leaves the others alone.
     """
-
-    def measure(rows: Iterator) -> list[dict[str, tuple[float, int, int]]]:
-        return [measured(pa.array([r[0] for r in itertools.islice(rows, sample_rows)], pa.string()), rules)]
-
-    texts = only(docs, "text").rdd
-    n = texts.getNumPartitions()
-    some = sorted({k * n // splits for k in range(splits)}) if n else []
-    found = docs.sparkSession.sparkContext.runJob(texts, measure, some) if some else []
+    rows = only(docs, "text").filter(F.octet_length("text") <= SAMPLE_BYTES).limit(sample_rows).collect()
+    found = measured(pa.array([r[0] for r in rows], pa.string()), rules)
 
     def rate(name: str) -> float:
-        s, hits, seen = (sum(x[name][i] for x in found) for i in range(3))
+        s, hits, seen = found[name]
         return (hits + 1) / (seen + 2) / max(s, 1e-9)
 
     return tuple(sorted(rules, key=lambda r: (-rate(r.name), r.name)))
@@ -224,6 +219,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: tuple
     ordered = with_base(order or cascade_order(docs, BASE + rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in ts.pieces(batch.column(1)):
                 t = Texts(batch.column(1).slice(a, b - a))
@@ -239,6 +235,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: tuple[Rul
     at = docs.columns.index("text")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in ts.pieces(batch.column(at)):
                 part = batch.slice(a, b - a)

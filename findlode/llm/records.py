@@ -150,7 +150,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     shards = shard_starts(index)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()  # a worker that has encoded needs its memory for other things now
+        release()
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[f.split()[0] for f in RECORDS.split(", ")])

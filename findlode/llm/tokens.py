@@ -144,5 +144,5 @@ def encoder(path: str) -> Encoder:
 
 
 def release() -> None:
-    """Lets go of the worker's encoders and what they remember."""
+    """Lets go of the worker's encoders and what they remember: other work needs the memory."""
     encoder.cache_clear()
