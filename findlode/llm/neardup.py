@@ -39,6 +39,8 @@ from findlode.llm.shared import Scratch, if_few, only, unnamed
 HASHES = 128
 LEAST_DEPTH = 4
 CROWD = 24
+#: A region of more documents than this is cut into parts of about this many, and neighbours are sought within each part.
+CHAIN = 1024
 #: Documents, and shingles, of a block, where a crowd is asked block against block.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 21
@@ -142,9 +144,12 @@ def regions(sigs: DataFrame) -> DataFrame:
 def chains(members: DataFrame) -> DataFrame:
     """Each document with the one before it in its region's order, its neighbour of longest common prefix.
 
-    Pairs of one component are left out.
+    Pairs of one component are left out. A region beyond ``CHAIN`` is cut by a hash of the document that differs from order
+    to order, so that no task sorts a region of any size; what one order keeps apart another brings together, and what
+    still is in several components then is asked as a crowd, exactly.
     """
-    w = Window.partitionBy("region").orderBy("deep", "comp", "doc_id")
+    part = F.pmod(F.xxhash64("t", "doc_id"), F.ceil(F.col("size") / CHAIN))
+    w = Window.partitionBy("region", part).orderBy("deep", "comp", "doc_id")
     return members.select("doc_id", "comp", F.lag("doc_id").over(w).alias("b"), F.lag("comp").over(w).alias("comp_b")).filter("b is not null and comp != comp_b").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
 
 

@@ -120,6 +120,15 @@ def test_extra_columns_nulls_and_repeats(docs_of, odd):
     assert {r["component_id"] for r in by[None]} == {5, None}
 
 
+def test_regions_cut_into_parts_lose_no_link(docs_of, monkeypatch):
+    """Several hundred edits of two texts, in parts of eight documents."""
+    monkeypatch.setattr(neardup, "CHAIN", 8)
+    rng = random.Random(11)
+    bases = [words(rng, 120) for _ in range(2)]
+    texts = [" ".join(changed(rng, bases[i % 2], rng.randrange(0, 5))) for i in range(400)]
+    check(list(enumerate(texts)), docs_of)
+
+
 def test_one_of_each_keeps_whole_rows(docs_of):
     docs = docs_of(["a b c d e f", "x y z", "a b c d e f", None, ""], extra=True)
     kept = neardup.one_of_each(docs)
