@@ -78,7 +78,7 @@ def ellipse_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling is the operator: whole blocks of 1000 at an even stride."""
     li = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "feat_id")
-    n = li.agg(F.max("feat_id")).first()[0] + 1
+    n = li.agg(F.coalesce(F.max("feat_id"), F.lit(-1))).first()[0] + 1
     return index.block_sample(li, n, 5000).groupBy("feat_id").agg(F.count("*").alias("n"))
 
 
