@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findlode.operators import scoring
 from findlode.plans.registry import query, read
 from findlode.plans.text import RANKED, STATISTICS, Corpus, scores_sql
 from findlode.streaming import feeds
@@ -25,4 +24,4 @@ def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's turns, joined to one query, against all documents."""
     c = Corpus(spark, sf_dir)
     said = feeds.query_words(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), "text"))
-    return scoring.top(c.scores(said), 5).select("query_id", "doc_id", "score")
+    return c.best(said, 5).select("query_id", "doc_id", "score")
