@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findlode.functions import text as fx
+from findlode.functions.session import checkpointed, if_few
+from findlode.operators import blocked
 from findlode.operators import geometry as geo
-from findlode.operators import index
 from findlode.plans.registry import query, read
-from findlode.plans.text import Corpus, item_postings
+from findlode.plans.text import Corpus
 
 BOXES = "a AS (SELECT l_orderkey AS file_id, l_linenumber AS region_id, l_quantity AS x, l_linenumber * 2.0 AS y, 40 + l_tax * 100 AS w, 30 + l_discount * 100 AS h FROM lineitem)"
 
@@ -89,32 +90,30 @@ def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEPTH = 200
 
 
-def _passages(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
-    """Putative pairs of items and their first documents: the same word, at (its place, ten times its length), all circles.
+def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items' first documents, and what a common shift of each item and document says.
 
     A passage that a document holds word by word is the item moved along the text.
     """
     c = Corpus(spark, sf_dir)
-    first = c.ranked(DEPTH)
-    wide = lambda side, pos, word: [F.col(pos).cast("double").alias(f"{side}x"), (F.length(word) * 10).cast("double").alias(f"{side}y"), F.lit(1.0).alias(f"{side}a"), F.lit(0.0).alias(f"{side}b"), F.lit(1.0).alias(f"{side}c")]
-    q = item_postings(spark, sf_dir).select("query_id", "word", F.col("pos").cast("bigint").alias("q_feat"), *wide("q_", "pos", "word"))
-    d = index.text_postings(c.docs).join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "word", F.col("pos").cast("bigint").alias("feat_id"), *wide("", "pos", "word"))
-    pairs = q.join(first.select("query_id", "doc_id"), "query_id").join(d, ["doc_id", "word"]).withColumn("w", F.lit(1.0))
-    return first, pairs
+    first = checkpointed(c.best(c.items.select("query_id", "word"), DEPTH).select("query_id", "doc_id", "score", "rank"))
+    items = c.items.groupBy("query_id").agg(F.collect_list(F.struct("pos", "word")).alias("l")).select("query_id", F.col("l.word").alias("q_words"), F.col("l.pos").alias("q_places"))
+    found = c.docs.join(if_few(first.select("doc_id").distinct()), "doc_id", "left_semi")
+    return first, geo.verified_words(blocked.text_words(found, places=True), first.select("query_id", "doc_id").join(if_few(items), "query_id"))
 
 
 @query()
 def ransac_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items' first documents again, by how many of the item's words fit one shift. The search is a loop; tests recover known transforms."""
-    first, pairs = _passages(spark, sf_dir)
-    return geo.reranked(first, pairs, DEPTH).select("query_id", "doc_id", F.round("score", 6).alias("score"), "inliers")
+    first, checked = _passages(spark, sf_dir)
+    return geo.rescored(first, checked, DEPTH).select("query_id", "doc_id", F.round("score", 6).alias("score"), "inliers")
 
 
 @query()
 def match_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of words that fit, for each item and document."""
-    _, pairs = _passages(spark, sf_dir)
-    return geo.verified(pairs).filter("inliers >= 4").select("query_id", "doc_id", F.explode("pairs").alias("p")).select("query_id", "doc_id", "p.q_feat", "p.feat_id")
+    _, checked = _passages(spark, sf_dir)
+    return checked.filter("inliers >= 4").select("query_id", "doc_id", F.explode("pairs").alias("p")).select("query_id", "doc_id", "p.q_feat", "p.feat_id")
 
 
 @query()
